@@ -203,8 +203,8 @@ CTE = {
     GROUP BY ALL) u USING (container, window_id)""",
     # threshold 4.3 suits text the way 7.0 suits archives
     "predicted": """
-  SELECT *, round_even(entropy * 1.0 + (1.0 - printable_ratio) * 0.5, 6) AS score,
-         CASE WHEN round_even(entropy * 1.0 + (1.0 - printable_ratio) * 0.5, 6) >= 4.3 THEN 1 ELSE 0 END AS predicted_label_id
+  SELECT *, round_even(entropy + (1.0e0 - printable_ratio), 6) AS score,
+         CASE WHEN round_even(entropy + (1.0e0 - printable_ratio), 6) >= 4.3 THEN 1 ELSE 0 END AS predicted_label_id
   FROM labelled""",
     "pobjects": """
   SELECT container, object_id, object_path, max(score) AS score,
