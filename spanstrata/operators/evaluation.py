@@ -253,6 +253,8 @@ def resample_counts(
 ) -> DataFrame:
     """How often each (collapsed) cell is drawn per replicate, drawing ``n`` rows with replacement.
 
+    ``cells`` = score columns followed by the truth column.
+
     Rows are collapsed to counted cells first.  ``method="poisson"`` then draws
     each cell's multiplicity from Poisson(count), at a cost of cells x replicates
     whatever the number of rows; the default makes the ``n`` draws.  Each cell owns a contiguous range
@@ -261,14 +263,18 @@ def resample_counts(
     Returns (replicate, *cells, drawn).
     """
     counted = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.lit(0))
+    # Score buckets ride along, so replicates need no second look at the score range.
+    scores = cells[:-1]
+    counted = counted.withColumns({f"_bk_{c}": range_bucket(counted, F.col(c), 64) for c in scores})
+    base, cells = list(cells), [*cells, *[f"_bk_{c}" for c in scores]]
     if method == "poisson":
         reps = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
         each = counted.select(reps, *cells, "_n")
         key = F.xxhash64(F.lit(seed), "replicate", *cells)
         return each.select("replicate", *cells, poisson_draw(F.col("_n"), key).alias("drawn")).where("drawn > 0")
-    order_cols = [F.col(order), *[F.col(c) for c in cells if c != order]]
+    order_cols = [F.col(order), *[F.col(c) for c in base if c != order]]
     ranged = running(
-        counted, ["_g"], order_cols, {"_hi": ("sum", F.col("_n"), True)}, range_bucket(counted, F.col(order))
+        counted, ["_g"], order_cols, {"_hi": ("sum", F.col("_n"), True)}, F.col(f"_bk_{order}")
     ).select(*cells, (F.col("_hi") - F.col("_n")).alias("_lo"), "_hi")
     total = df.agg(F.count(F.lit(1)).alias("n"))
     spark = df.sparkSession
@@ -285,7 +291,8 @@ def resample_counts(
     hits = draws.groupBy("replicate", "_d").agg(F.count(F.lit(1)).alias("_m"))
     width = 8
     slots = ranged.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor((F.col("_hi") - 1) / width))))
-    joined = hits.withColumn("_slot", F.floor(F.col("_d") / width)).join(slots, "_slot").where(
+    # The optimizer cannot see how many draws the explode makes; never broadcast them.
+    joined = hits.withColumn("_slot", F.floor(F.col("_d") / width)).hint("merge").join(slots, "_slot").where(
         (F.col("_d") >= F.col("_lo")) & (F.col("_d") < F.col("_hi"))
     )
     return joined.groupBy("replicate", *cells).agg(F.sum("_m").alias("drawn"))
@@ -293,11 +300,11 @@ def resample_counts(
 
 def weighted_auroc(counts: DataFrame, keys: Sequence[str], score: str, truth: str, weight: str) -> DataFrame:
     """AUROC per key of rows carrying a multiplicity; keys with one class are dropped."""
-    h = counts.groupBy(*keys, F.col(score).alias("_s")).agg(
+    h = counts.groupBy(*keys, F.col(score).alias("_s"), F.col(f"_bk_{score}").alias("_bk")).agg(
         F.sum(F.when(F.col(truth) == 1, F.col(weight)).otherwise(0)).alias("_p"),
         F.sum(F.when(F.col(truth) != 1, F.col(weight)).otherwise(0)).alias("_q"),
     )
-    cum = running(h, keys, [F.col("_s")], {"_below": ("sum", F.col("_q"), False)}, range_bucket(h, F.col("_s"), 64))
+    cum = running(h, keys, [F.col("_s")], {"_below": ("sum", F.col("_q"), False)}, F.col("_bk"))
     agg = cum.groupBy(*keys).agg(
         F.sum(F.col("_p").cast("double") * (F.col("_below") + F.col("_q") / 2.0)).alias("_w"),
         F.sum("_p").cast("double").alias("_P"),

@@ -78,7 +78,7 @@ HEAD_SQL = (
 )
 PROBE_PATH_SQL = (
     "CASE doc_id % 17 WHEN 0 THEN 'classes.dex' WHEN 1 THEN 'classes2.dex' WHEN 2 THEN 'AndroidManifest.xml' "
-    "WHEN 3 THEN 'resources.arsc' WHEN 4 THEN 'inner\\app.apk' ELSE " + PATH_SQL + " END"
+    "WHEN 3 THEN 'resources.arsc' WHEN 4 THEN concat('inner', chr(92), 'app.apk') ELSE " + PATH_SQL + " END"
 )
 SCORE_SQL = "4.0e0 * l_discount + 3.75e0 * l_tax + 0.006e0 * l_quantity"
 
