@@ -109,6 +109,41 @@ def chunk_entropies(data: Column, width: int, step: int | None = None) -> Column
     return kernel(data)
 
 
+_RANGES = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "end")]))
+
+
+def block_diff(new: Column, old: Column, block: int = 4096) -> Column:
+    """array<struct<start,end>>: changed ranges of ``new``.
+
+    Per block of the common length the span from the first to the last differing
+    byte, then everything beyond the common length; touching ranges merge.
+    """
+
+    @F.arrow_udf(_RANGES)
+    def kernel(news: pa.Array, olds: pa.Array) -> pa.Array:
+        flat, sizes = [], []
+        for a, b in zip(_values(news), _values(olds)):
+            common = min(a.size, b.size)
+            at = np.flatnonzero(a[:common] != b[:common])
+            cell = at // block
+            edge = np.flatnonzero(np.diff(cell)) + 1
+            spans = [(int(at[i]), int(at[j - 1]) + 1) for i, j in zip(np.append(0, edge), np.append(edge, at.size))] if at.size else []
+            if a.size > common:
+                spans.append((common, int(a.size)))
+            merged = []
+            for s, e in spans:
+                if merged and s <= merged[-1][1]:
+                    merged[-1] = (merged[-1][0], e)
+                else:
+                    merged.append((s, e))
+            flat.extend(merged)
+            sizes.append(len(merged))
+        cols = np.array(flat, dtype=np.int64).reshape(-1, 2)
+        return _lists(sizes, pa.StructArray.from_arrays([pa.array(cols[:, 0]), pa.array(cols[:, 1])], ["start", "end"]))
+
+    return kernel(new, old)
+
+
 # ---- expressions on a 256-count histogram -------------------------------------------------
 
 

