@@ -189,32 +189,6 @@ def diff_magnitude(new: DataFrame, old: DataFrame) -> DataFrame:
     )
 
 
-def greedy_matches(new: DataFrame, old: DataFrame, limit: float = 2.0) -> DataFrame:
-    """Order-dependent 1:1 matching of bounded pairs: new members by name take the best free old one."""
-    scored = _candidate_scores(new, old, limit)
-
-    def assign(pdf):
-        taken, rows = set(), []
-        for name, part in pdf.sort_values(["new_name", "score", "old_name"]).groupby("new_name", sort=True):
-            free = part[~part["old_name"].isin(taken)]
-            if len(free):
-                best = free.iloc[0]
-                taken.add(best["old_name"])
-                rows.append(best)
-        return pdf.__class__(rows, columns=pdf.columns)
-
-    return scored.groupBy("pair_id").applyInPandas(assign, scored.schema)
-
-
-def _candidate_scores(new: DataFrame, old: DataFrame, limit: float) -> DataFrame:
-    n = new.select("pair_id", F.col("name").alias("new_name"), F.col("hist").alias("nh"), F.col("size").alias("ns"))
-    o = old.select("pair_id", F.col("name").alias("old_name"), F.col("hist").alias("oh"), F.col("size").alias("os"))
-    gap = F.abs(F.log2(F.greatest("ns", F.lit(1)).cast("double")) - F.log2(F.greatest("os", F.lit(1)).cast("double")))
-    near = n.join(o, "pair_id").where(gap < limit)
-    score = r6(gap + 2.0 * B.histogram_l1(F.col("nh"), F.col("oh"), F.col("ns"), F.col("os")))
-    return near.select("pair_id", "new_name", "old_name", score.alias("score")).where(F.col("score") < limit)
-
-
 def removed_members(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("pair_id", "name"), ["pair_id", "name"], "left_anti")
 
