@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import as_int, r6
 from . import metrics as M
-from .ordering import range_bucket, running, top_per_group
+from .ordering import materialize, range_bucket, running, top_per_group
 
 SUMS = (
     "support", "positives", "predicted_positives", "true_positives", "false_positives", "false_negatives", "true_negatives",
@@ -262,7 +262,7 @@ def resample_counts(
     numbers, so neither raw rows nor all pairs are ever formed.
     Returns (replicate, *cells, drawn).
     """
-    counted = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.lit(0))
+    counted = materialize(df.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.lit(0)))
     # Score buckets ride along, so replicates need no second look at the score range.
     scores = cells[:-1]
     counted = counted.withColumns({f"_bk_{c}": range_bucket(counted, F.col(c), 64) for c in scores})
@@ -276,7 +276,7 @@ def resample_counts(
     ranged = running(
         counted, ["_g"], order_cols, {"_hi": ("sum", F.col("_n"), True)}, F.col(f"_bk_{order}")
     ).select(*cells, (F.col("_hi") - F.col("_n")).alias("_lo"), "_hi")
-    total = df.agg(F.count(F.lit(1)).alias("n"))
+    total = counted.agg(F.sum("_n").alias("n"))
     spark = df.sparkSession
     reps = spark.range(1, replicates + 1).select(F.col("id").alias("replicate"))
     n = total.scalar()
@@ -336,10 +336,11 @@ def paired_bootstrap(
     df: DataFrame, score_a: str, score_b: str, truth: str, replicates: int = 200, seed: int = 7, method: str = "draws"
 ) -> DataFrame:
     """Bootstrap of AUROC(b) - AUROC(a) on common draws with a two-sided p value."""
-    drawn = resample_counts(df, [score_a, score_b, truth], score_a, replicates, seed, method)
+    drawn = materialize(resample_counts(df, [score_a, score_b, truth], score_a, replicates, seed, method))
     a = weighted_auroc(drawn, ["replicate"], score_a, truth, "drawn").withColumnRenamed("auroc", "a")
     b = weighted_auroc(drawn, ["replicate"], score_b, truth, "drawn").withColumnRenamed("auroc", "b")
     delta = a.join(b, "replicate").select((F.col("b") - F.col("a")).alias("delta"))
+    delta = materialize(delta)
     tails = delta.agg(
         r6(F.least(F.lit(1.0), 2.0 * F.least(F.avg(as_int(F.col("delta") <= 0).cast("double")), F.avg(as_int(F.col("delta") >= 0).cast("double"))))).alias("p")
     ).scalar()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import as_int, r6, ratio
 from .intervals import boundary_error, set_iou, set_overlap
-from .ordering import range_bucket, running
+from .ordering import materialize, range_bucket, running
 
 ALL = "_all"
 
@@ -65,7 +65,7 @@ def score_counts(df: DataFrame, score: Column, truth: Column, keys: Sequence[str
 def score_curve(df: DataFrame, score: Column, truth: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Per distinct score: own counts, counts at or above it (tp, fp) and class totals."""
     work, k = _keyed(df, keys)
-    counts = score_counts(work, score, truth, k)
+    counts = materialize(score_counts(work, score, truth, k))
     cumulative = running(
         counts,
         k,

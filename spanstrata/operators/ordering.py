@@ -8,6 +8,7 @@ part contributed by earlier buckets.  Results equal the single-window form.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,23 @@ from pyspark.sql import functions as F
 BUCKETS = 1024
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Evaluate once and cut the lineage, in the reliable folder ``spark.checkpoint.dir``.
+
+    Used where a derived relation feeds several branches: without it every
+    branch, and every level of a chain of such steps, would repeat the scan.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="spanstrata-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def range_bucket(df: DataFrame, value: Column, buckets: int = BUCKETS, descending: bool = False) -> Column:
     """Monotone bucket number of a numeric value between its exact global min and max."""
     stats = df.agg(
@@ -63,7 +81,7 @@ def running(
         return df.withColumns(
             {n: F.coalesce(c, F.lit(0)) if aggs[n][0] == "sum" else c for n, c in cols.items()}
         )
-    work = df.withColumn("_bucket", bucket)
+    work = materialize(df.withColumn("_bucket", bucket))
     spec = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     local = work.withColumns(
         {

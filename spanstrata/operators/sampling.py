@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import sample_digest
-from .ordering import hash_bucket, positions, range_bucket
+from .ordering import hash_bucket, materialize, positions, range_bucket
 
 ALL = "_all"
 
@@ -98,15 +98,16 @@ def seed_disjoint_counts(rows: DataFrame, roles: DataFrame, seed_col: str, famil
 
 def _round_robin(df: DataFrame, strata: Sequence[str], seed: int, key: Column) -> DataFrame:
     """Global position when the strata are visited in turn, each in digest order."""
-    ranked = hash_ranked(df, strata, seed, [key], "_rr").withColumn(ALL, F.lit(0))
+    ranked = materialize(hash_ranked(df, strata, seed, [key], "_rr").withColumn(ALL, F.lit(0)))
     return positions(ranked, [ALL], [F.col("_rr"), *[F.col(s) for s in strata]], range_bucket(ranked, F.col("_rr")), "_turn").drop(ALL)
 
 
 def stratified_sample(df: DataFrame, target: int, min_positive: int, group: str, label: str, key: str, seed: int = 0) -> DataFrame:
     """At most ``target`` rows: positives first, then round robin over (group, label)."""
+    df = materialize(df)
     n = df.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("p")).alias("s")).scalar()
     keep = F.least(n["p"], F.greatest(F.lit(target // 2), F.lit(min_positive)), F.lit(target))
-    pos = hash_ranked(df.where(F.col(label) == 1), [], seed, [F.col(key)]).withColumn("_in", F.col("rn") <= keep)
+    pos = materialize(hash_ranked(df.where(F.col(label) == 1), [], seed, [F.col(key)]).withColumn("_in", F.col("rn") <= keep))
     rest = pos.where("NOT _in").drop("rn", "_in").unionByName(df.where(F.col(label) != 1))
     filled = _round_robin(rest, [group, label], seed + 1, F.col(key)).where(F.col("_turn") <= F.lit(target) - keep)
     sampled = pos.where("_in").select(*df.columns).unionByName(filled.select(*df.columns))
@@ -117,6 +118,7 @@ def fit_calibration_split(
     df: DataFrame, share: float, min_rows: int, min_positive: int, group: str, label: str, key: str, seed: int = 0
 ) -> DataFrame:
     """Add ``part`` = calibration / fit; both labels stay present in fit."""
+    df = materialize(df)
     n = df.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("p")).alias("s")).scalar()
     neg = n["n"] - n["p"]
     one = F.lit(1).cast("bigint")
@@ -125,11 +127,12 @@ def fit_calibration_split(
     kn = F.greatest(F.least(neg - 1, target - kp, F.greatest(one, F.floor(target / 2))), F.lit(0))
     ranked = hash_ranked(df, [label], seed, [F.col(key)])
     first = F.col("rn") <= F.when(F.col(label) == 1, kp).otherwise(kn)
-    ranked = ranked.withColumn("_first", first)
+    ranked = materialize(ranked.withColumn("_first", first))
     turned = _round_robin(ranked.where("NOT _first").drop("rn", "_first"), [group, label], seed + 1, F.col(key))
+    turned = materialize(turned)
     inside = positions(turned, [label], [F.col("_turn")], range_bucket(turned, F.col("_turn")), "_in_label")
     cap = F.when(F.col(label) == 1, n["p"] - 1 - kp).otherwise(neg - 1 - kn)
-    allowed = inside.where(F.col("_in_label") <= cap).withColumn(ALL, F.lit(0))
+    allowed = materialize(inside.where(F.col("_in_label") <= cap).withColumn(ALL, F.lit(0)))
     order = positions(allowed, [ALL], [F.col("_turn")], range_bucket(allowed, F.col("_turn")), "_fill")
     extra = order.where(F.col("_fill") <= target - kp - kn).select(key)
     chosen = ranked.where("_first").select(key).unionByName(extra).withColumn("_c", F.lit(True))
@@ -166,7 +169,7 @@ def audit_sample(rows: DataFrame, share: float = 0.1, low: int = 4, high: int =
     rows: packer_id, apk_id, final_label_count, needs_manual_review, ratio.
     """
     keys = ["packer_id", "apk_id"]
-    ok = rows.where((F.col("final_label_count") > 0) | F.col("needs_manual_review"))
+    ok = materialize(rows.where((F.col("final_label_count") > 0) | F.col("needs_manual_review")))
     n = ok.agg(F.count(F.lit(1)).alias("n")).scalar()
     target = F.greatest(F.lit(low), F.least(F.lit(high), F.ceil(n * share)))
     tag = lambda df, p, why: df.select(*keys, F.lit(p).alias("_p"), F.lit(why).alias("why"))
@@ -179,7 +182,7 @@ def audit_sample(rows: DataFrame, share: float = 0.1, low: int = 4, high: int =
     base = review.unionByName(lows).unionByName(highs)
     missing = ok.join(base.select("packer_id"), "packer_id", "left_anti").groupBy("packer_id").agg(F.min("apk_id").alias("apk_id"))
     cover = missing.select(*keys, F.lit(3).alias("_p"), F.format_string("packer '%s' coverage", "packer_id").alias("why"))
-    picked = base.unionByName(cover)
+    picked = materialize(base.unionByName(cover))
     taken = picked.select(*keys).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     pool = hash_ranked(ok.join(picked.select(*keys), keys, "left_anti").select(*keys), [], seed, [F.col(k) for k in keys])
     fill = tag(pool.where(F.col("rn") <= target - taken), 4, "random fill")

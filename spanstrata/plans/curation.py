@@ -104,7 +104,7 @@ def a18(t):
 
 @query(
     "a25_labelled_training_rows",
-    """SELECT w.container, label_id, count(*) AS rows, sum(wn)::BIGINT AS bytes FROM windows w JOIN (SELECT DISTINCT source AS container, CASE regexp_replace(source, '[^0-9]', '')::INT % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS label_id FROM documents) USING (container)
+    """SELECT w.container, label_id, count(*) AS rows, sum(wn)::BIGINT AS bytes FROM windows w JOIN (SELECT DISTINCT source AS container, CASE regexp_replace(source, '[^0-9]', '', 'g')::INT % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS label_id FROM documents) USING (container)
 WHERE label_id IS NOT NULL AND window_index < 8 GROUP BY ALL""",
     ("windows",),
 )
