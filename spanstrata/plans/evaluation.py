@@ -10,7 +10,16 @@ from ..operators import metrics as M
 from ..operators.ordering import range_bucket, running
 from .base import query
 
-S, Y = F.col("score"), F.col("truth")
+
+
+def S():
+    return F.col("score")
+
+
+def Y():
+    return F.col("truth")
+
+
 CUT = 0.45
 
 CONF = """sum(truth)::BIGINT AS positives, sum(p)::BIGINT AS predicted_positives, sum(truth * p)::BIGINT AS true_positives,
@@ -31,7 +40,7 @@ AUPRC = "round_even(CASE WHEN max(p) > 0 AND max(n) > 0 THEN sum(pos * tp / (tp
     ("scored",),
 )
 def e1(t):
-    return M.confusion_report(t.scored, Y, as_int(S >= CUT), ["family"])
+    return M.confusion_report(t.scored, Y(), as_int(S() >= CUT), ["family"])
 
 
 @query(
@@ -40,7 +49,7 @@ def e1(t):
     ("scored",),
 )
 def e2(t):
-    return M.hard_labels(t.scored, S, CUT).groupBy("fold", "predicted_label_id").agg(
+    return M.hard_labels(t.scored, S(), CUT).groupBy("fold", "predicted_label_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("truth").alias("positives")
     )
 
@@ -51,7 +60,7 @@ def e2(t):
     ("curve",),
 )
 def e3(t):
-    return M.ranking_quality(t.scored, S, Y).drop("auprc")
+    return M.ranking_quality(t.scored, S(), Y()).drop("auprc")
 
 
 @query(
@@ -60,7 +69,7 @@ def e3(t):
     ("famcurve",),
 )
 def e4(t):
-    return M.ranking_quality(t.scored, S, Y, ["family"]).select("family", "auroc", "auprc")
+    return M.ranking_quality(t.scored, S(), Y(), ["family"]).select("family", "auroc", "auprc")
 
 
 @query(
@@ -73,7 +82,7 @@ SELECT count(*) AS group_count, count(f) AS evaluated_group_count, round_even(av
     ("scored",),
 )
 def e5(t):
-    return M.ranking_report(t.scored, ["l_orderkey"], S, Y)
+    return M.ranking_report(t.scored, ["l_orderkey"], S(), Y())
 
 
 @query(
@@ -91,7 +100,7 @@ SELECT (SELECT count(*) FROM b) AS bags, (SELECT round_even(avg(rr), 6) FROM b)
 )
 def e9(t):
     tie = F.col("l_linenumber") * 10000000 + F.col("suppkey")
-    return E.entry_localization(t.scored, ["l_orderkey"], "score_b", S, tie_break=tie)
+    return E.entry_localization(t.scored, ["l_orderkey"], "score_b", S(), tie_break=tie)
 
 
 @query(
@@ -102,7 +111,7 @@ def e9(t):
     ("famcurve",),
 )
 def e10(t):
-    return M.operating_points(t.scored, S, Y, ["family"])
+    return M.operating_points(t.scored, S(), Y(), ["family"])
 
 
 POINTS = """SELECT family, score AS threshold, tp / (tp + fp) AS p, tp / p AS r, fp / n AS fpr,
@@ -117,7 +126,7 @@ SELECT family, threshold, round_even(f, 6) AS f1, round_even(p, 6) AS "precision
     ("famcurve",),
 )
 def e11(t):
-    return M.best_f1_threshold(t.scored, S, Y, ["family"])
+    return M.best_f1_threshold(t.scored, S(), Y(), ["family"])
 
 
 E12_POINTS = """pts AS (SELECT fold, score, sum(pos) OVER w AS true_positives, sum(neg) OVER w AS false_positives,
@@ -138,7 +147,7 @@ UNION ALL SELECT fold, 'best', threshold, "precision", recall, f1, accuracy FROM
     ("scored",),
 )
 def e12(t):
-    return M.threshold_report(t.scored, S, Y, CUT, ["fold"])
+    return M.threshold_report(t.scored, S(), Y(), CUT, ["fold"])
 
 
 @query(
@@ -149,7 +158,7 @@ SELECT family, threshold, round_even(fpr, 6) AS fpr, round_even(r, 6) AS tpr, ro
     ("famcurve",),
 )
 def e13(t):
-    return M.target_tpr_threshold(t.scored, S, Y, 0.95, ["family"])
+    return M.target_tpr_threshold(t.scored, S(), Y(), 0.95, ["family"])
 
 
 @query(
@@ -162,7 +171,7 @@ SELECT support, positives, predicted_positives, true_positives, false_positives,
 )
 def e14(t):
     return M.top_k_report(
-        t.scored, ["l_orderkey"], [S.desc(), F.col("l_linenumber"), F.col("suppkey"), Y], Y, 1
+        t.scored, ["l_orderkey"], [S().desc(), F.col("l_linenumber"), F.col("suppkey"), Y()], Y(), 1
     )
 
 
@@ -172,7 +181,7 @@ def e14(t):
     ("scored",),
 )
 def e15(t):
-    return M.brier_score(t.scored, S, Y, ["family"])
+    return M.brier_score(t.scored, S(), Y(), ["family"])
 
 
 ECE = """bins AS (SELECT b, b / 10 AS lo, (b + 1) / 10 AS hi FROM (SELECT unnest(range(10)) AS b)),
@@ -187,7 +196,7 @@ ECE = """bins AS (SELECT b, b / 10 AS lo, (b + 1) / 10 AS hi FROM (SELECT unnest
     ("scored",),
 )
 def e16_bins(t):
-    return M.calibration_bins(t.scored, S, Y).withColumn("gap", r6(F.col("gap")))
+    return M.calibration_bins(t.scored, S(), Y()).withColumn("gap", r6(F.col("gap")))
 
 
 @query(
@@ -196,7 +205,7 @@ def e16_bins(t):
     ("scored",),
 )
 def e16(t):
-    return M.expected_calibration_error(t.scored, S, Y)
+    return M.expected_calibration_error(t.scored, S(), Y())
 
 
 @query(
@@ -207,7 +216,7 @@ SELECT fold, count(*) AS n, round_even(avg(z), 6) AS z_mean, round_even(max(z),
     ("scored",),
 )
 def e17(t):
-    z = E.normalize_by_reference(t.scored, "score", (Y == 0) & (F.col("fold") != 0), "z")
+    z = E.normalize_by_reference(t.scored, "score", (Y() == 0) & (F.col("fold") != 0), "z")
     n = F.col("normalized")
     return z.groupBy("fold").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg(n)).alias("z_mean"), r6(F.max(n)).alias("z_max"), r6(F.min(n)).alias("z_min")
@@ -227,7 +236,7 @@ FOLDS = f"""c AS (SELECT fold, score, pos, neg, sum(pos) OVER w AS tp, sum(neg)
 
 @query("e18_fold_results", f"WITH {FOLDS} SELECT * FROM f", ("scored",))
 def e18(t):
-    return E.fold_results(t.scored, "fold", S, Y)
+    return E.fold_results(t.scored, "fold", S(), Y())
 
 
 @query(
@@ -237,7 +246,7 @@ def e18(t):
     ("scored",),
 )
 def e18_summary(t):
-    return E.fold_summary(E.fold_results(t.scored, "fold", S, Y))
+    return E.fold_summary(E.fold_results(t.scored, "fold", S(), Y()))
 
 
 BOOT_B = 20
@@ -287,7 +296,7 @@ SELECT metric, expected, tolerance, value, coalesce(abs(value - expected) <= tol
     ("scored",),
 )
 def e21(t):
-    summary = E.fold_summary(E.fold_results(t.scored, "fold", S, Y))
+    summary = E.fold_summary(E.fold_results(t.scored, "fold", S(), Y()))
     names = ["mean_auroc", "mean_detection_rate"]
     tidy = summary.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])))
     return E.check_expectations(
@@ -308,7 +317,7 @@ SELECT *, {RATES} FROM c""",
     ("scored",),
 )
 def e22(t):
-    return E.sweep_thresholds(t.scored, SWEEP, S, Y, ["family"])
+    return E.sweep_thresholds(t.scored, SWEEP, S(), Y(), ["family"])
 
 
 @query(
@@ -326,8 +335,8 @@ SELECT *, {RATES} FROM c""",
 def e23(t):
     cal = t.scored.where("suppkey % 3 = 0 AND fold < 4")
     test = t.scored.where("suppkey % 3 <> 0")
-    decided = E.transfer_threshold(cal, test, "fold", S, Y, CUT)
-    return M.confusion_report(decided, Y, F.col("predicted_label_id"), ["fold", "threshold"])
+    decided = E.transfer_threshold(cal, test, "fold", S(), Y(), CUT)
+    return M.confusion_report(decided, Y(), F.col("predicted_label_id"), ["fold", "threshold"])
 
 
 @query(
@@ -340,7 +349,7 @@ SELECT family, count(*) AS bags, round_even(avg(p), 6) AS positive_mean, round_e
 )
 def e24(t):
     train = t.scored.where("fold <> 0")
-    return E.scoring_direction(train, ["l_orderkey"], F.lit(1), Y, S, ["family"])
+    return E.scoring_direction(train, ["l_orderkey"], F.lit(1), Y(), S(), ["family"])
 
 
 @query(
@@ -352,7 +361,7 @@ FROM scored""",
 def f5(t):
     items = t.scored.select("l_orderkey", "l_linenumber", "suppkey", "score")
     counts = items.groupBy("score").agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.lit(0))
-    below = running(counts, ["_g"], [S], {"_below": ("sum", F.col("_n"), False)}, range_bucket(counts, S))
+    below = running(counts, ["_g"], [S()], {"_below": ("sum", F.col("_n"), False)}, range_bucket(counts, S()))
     ranks = below.select("score", (F.col("_below") + (F.col("_n") + 1) / 2.0).alias("avg_rank"))
     return items.join(ranks, "score")
 
@@ -374,9 +383,9 @@ AGGR = """count(*) AS contributing_task_count, sum(support)::BIGINT AS support,
 def reports(t):
     both = t.scored.select(
         "family", "fold", "truth",
-        F.inline(F.array(F.struct(F.lit("a").alias("method"), S.alias("score")), F.struct(F.lit("b").alias("method"), F.col("score_b").alias("score")))),
+        F.inline(F.array(F.struct(F.lit("a").alias("method"), S().alias("score")), F.struct(F.lit("b").alias("method"), F.col("score_b").alias("score")))),
     )
-    return E.task_reports(both, ["method", "family", "fold"], S, Y, CUT)
+    return E.task_reports(both, ["method", "family", "fold"], S(), Y(), CUT)
 
 
 @query(
@@ -436,4 +445,4 @@ SELECT *, CASE WHEN auroc_a - auroc_b > 0.01 THEN 'a' WHEN auroc_a - auroc_b < -
     ("scored",),
 )
 def a24(t):
-    return E.compare_scores(t.scored, "family", ["l_orderkey"], Y, {"a": S, "b": F.col("score_b")})
+    return E.compare_scores(t.scored, "family", ["l_orderkey"], Y(), {"a": S(), "b": F.col("score_b")})

@@ -14,7 +14,16 @@ from ..operators import windows as W
 from .base import PROBE_PATH_SQL, query
 from .detection import windows
 
-P, D = F.col("object_path"), F.col("content")
+
+
+def P():
+    return F.col("object_path")
+
+
+def D():
+    return F.col("content")
+
+
 LP = "lower(replace(object_path, chr(92), '/'))"
 BASE = f"regexp_extract({LP}, '([^/]*)$', 1)"
 SUF = f"regexp_extract({BASE}, '([.][^./]+)$', 1)"
@@ -30,7 +39,7 @@ ZIPS = "(starts_with(hx, '504B0304') OR starts_with(hx, '504B0506'))"
     ("probes",),
 )
 def p1(t):
-    return t.probes.select("doc_id", C.object_type(P, D).alias("object_type"))
+    return t.probes.select("doc_id", C.object_type(P(), D()).alias("object_type"))
 
 
 AX = "starts_with(hx, '03000800')"
@@ -45,7 +54,7 @@ ENTRY_SQL = f"""CASE WHEN starts_with(hx, '6465780A') THEN 'dex' WHEN starts_wit
 
 @query("p2_entry_type", f"SELECT doc_id, {ENTRY_SQL} AS entry_type FROM probes", ("probes",))
 def p2(t):
-    return t.probes.select("doc_id", C.entry_type(P, D).alias("entry_type"))
+    return t.probes.select("doc_id", C.entry_type(P(), D()).alias("entry_type"))
 
 
 MAGIC_SQL = f"""CASE WHEN length(hx) < 8 THEN 'unknown' WHEN starts_with(hx, '6465780A') THEN 'dex' WHEN starts_with(hx, '7F454C46') THEN 'elf'
@@ -64,8 +73,8 @@ def hot_sql(expr: str, names) -> str:
     ("probes",),
 )
 def p3(t):
-    bits = F.transform(C.one_hot(C.magic_type(D), C.MAGIC_TYPES), lambda x: x.cast("int").cast("string"))
-    return t.probes.select("doc_id", C.magic_type(D).alias("magic"), F.array_join(bits, "").alias("one_hot"))
+    bits = F.transform(C.one_hot(C.magic_type(D()), C.MAGIC_TYPES), lambda x: x.cast("int").cast("string"))
+    return t.probes.select("doc_id", C.magic_type(D()).alias("magic"), F.array_join(bits, "").alias("one_hot"))
 
 
 PTYPE_SQL = f"""CASE WHEN {LP} = 'classes.dex' THEN 'classes_dex' WHEN starts_with({LP}, 'classes') AND suffix({LP}, '.dex') THEN 'secondary_dex'
@@ -81,8 +90,8 @@ PTYPE_SQL = f"""CASE WHEN {LP} = 'classes.dex' THEN 'classes_dex' WHEN starts_wi
     ("probes",),
 )
 def p4(t):
-    bits = F.transform(C.one_hot(C.path_type(P), C.PATH_TYPES), lambda x: x.cast("int").cast("string"))
-    return t.probes.select("doc_id", C.path_type(P).alias("path_type"), F.array_join(bits, "").alias("one_hot"))
+    bits = F.transform(C.one_hot(C.path_type(P()), C.PATH_TYPES), lambda x: x.cast("int").cast("string"))
+    return t.probes.select("doc_id", C.path_type(P()).alias("path_type"), F.array_join(bits, "").alias("one_hot"))
 
 
 MODEL_SQL = ", ".join(repr(s) for s in C.MODEL_SUFFIXES)
@@ -98,8 +107,8 @@ BUCKETS_SQL = f"""(SELECT doc_id, container, coarse, {BUCKET_SQL} AS bucket FROM
 
 @query("p5_path_bucket", f"SELECT doc_id, coarse, bucket FROM {BUCKETS_SQL}", ("probes",))
 def p5(t):
-    e = C.entry_type(P, D)
-    return t.probes.select("doc_id", e.alias("coarse"), C.path_bucket(P, e).alias("bucket"))
+    e = C.entry_type(P(), D())
+    return t.probes.select("doc_id", e.alias("coarse"), C.path_bucket(P(), e).alias("bucket"))
 
 
 FAM_LIST = list(C.FAMILY_KINDS) + ["other"]
@@ -122,8 +131,8 @@ def p6(t):
     fam = F.array(F.element_at(fams, (F.col("doc_id") % 12 + 1).cast("int")))
     return d.select(
         "doc_id",
-        C.instance_kind_at_inference(P).alias("at_inference"),
-        C.instance_kind_for_training(P, F.col("toxic"), fam).alias("in_training"),
+        C.instance_kind_at_inference(P()).alias("at_inference"),
+        C.instance_kind_for_training(P(), F.col("toxic"), fam).alias("in_training"),
     )
 
 
@@ -135,7 +144,7 @@ def p6(t):
     ("probes",),
 )
 def p8(t):
-    return t.probes.select("doc_id", *[c.alias(n) for n, c in C.magic_scan(D).items()])
+    return t.probes.select("doc_id", *[c.alias(n) for n, c in C.magic_scan(D()).items()])
 
 
 def u32(o: int, hx: str = "hx") -> str:
@@ -157,7 +166,7 @@ SELECT doc_id, (n >= 8 AND substr(hx, 1, 16) IN ({", ".join(repr(m.hex().upper()
     ("probes",),
 )
 def p9(t):
-    return t.probes.select("doc_id", *[c.alias(n) for n, c in C.header_flags(P, D).items()])
+    return t.probes.select("doc_id", *[c.alias(n) for n, c in C.header_flags(P(), D()).items()])
 
 
 @query(
@@ -167,7 +176,7 @@ def p9(t):
     ("probes",),
 )
 def p10(t):
-    return t.probes.select("doc_id", *[B.uint32_le(D, o).alias(f"at_{o}") for o in (0, 32, 96)])
+    return t.probes.select("doc_id", *[B.uint32_le(D(), o).alias(f"at_{o}") for o in (0, 32, 96)])
 
 
 TEXT_WORDS = {"license": ["license", "License"], "password": ["password"], "the": ["the "], "at_sign": ["@"]}
@@ -181,7 +190,7 @@ WORDS = {**C.LOADER_KEYWORDS, **C.NATIVE_KEYWORDS, **C.SECTION_KEYWORDS, **TEXT_
     + " FROM documents",
 )
 def p11(t):
-    return t.objects.select("doc_id", *[c.alias(n) for n, c in C.keyword_flags(D, WORDS).items()])
+    return t.objects.select("doc_id", *[c.alias(n) for n, c in C.keyword_flags(D(), WORDS).items()])
 
 
 APP_SQL = "concat(replace(p_name, ' ', ''), CASE p_partkey % 6 WHEN 0 THEN '_release' WHEN 1 THEN '_debug_unaligned' WHEN 2 THEN '_Debug_aligned' WHEN 3 THEN '_release_signed' ELSE '' END)"
@@ -361,7 +370,7 @@ def p27(t):
     ("probes",),
 )
 def p28(t):
-    return t.probes.select("doc_id", *[c.alias(n) for n, c in C.path_parts(P).items()])
+    return t.probes.select("doc_id", *[c.alias(n) for n, c in C.path_parts(P()).items()])
 
 
 @query(
@@ -372,7 +381,7 @@ FROM (SELECT doc_id, {ENTRY_SQL} AS e, (doc_id % 10) / 10 AS a, (doc_id % 7) / 7
 )
 def p29(t):
     i = F.col("doc_id")
-    s = S.routed_score(C.entry_type(P, D), (i % 10) / 10, (i % 7) / 7, (i % 13) / 13)
+    s = S.routed_score(C.entry_type(P(), D()), (i % 10) / 10, (i % 7) / 7, (i % 13) / 13)
     return t.probes.select("doc_id", r6(s).alias("score"))
 
 
