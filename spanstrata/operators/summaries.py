@@ -122,3 +122,14 @@ def inventory(files: DataFrame, source: str, family: str, path: str, size: str,
 
 def contribution_scores(items: DataFrame, attention: str, logit: str) -> DataFrame:
     return items.withColumn("contribution", F.col(attention) * sigmoid(F.col(logit)))
+
+
+def eligible_rows(manifest: DataFrame, path: str, ordinal: str, limit: int, require_hard: bool = False) -> DataFrame:
+    """Train-allowed clean rows of a manifest, one per case-insensitive path, the first ``limit`` by ``ordinal``.
+
+    manifest: train_allowed, clean, label_class, ``path``, ``ordinal``.
+    """
+    classes = ["benign-hard-clean"] if require_hard else ["benign-clean", "benign-hard-clean"]
+    ok = manifest.where(F.col("train_allowed") & F.col("clean") & F.col("label_class").isin(*classes) & (F.col(path) != ""))
+    first = ok.groupBy(F.lower(path).alias("_k")).agg(F.min_by(F.struct(*manifest.columns), ordinal).alias("b"))
+    return first.select("b.*").orderBy(ordinal).limit(limit)
