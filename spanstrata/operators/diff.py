@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytes as B
 from ..functions.numeric import r6, ratio
-from .ordering import positions, prefix_bucket
+from .ordering import materialize, positions, prefix_bucket
 
 # Branch names and thresholds.
 UNCHANGED, MODIFIED, NEW, REMOVED, RENAMED = "unchanged", "byte_modified", "new_in_packed", "removed", "renamed"
@@ -26,7 +26,8 @@ def snapshot_members(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     n = new.select("pair_id", "name", F.col("name").alias("new_name"), F.col("size").alias("new_size"), F.col("sha256").alias("new_sha256"))
     o = old.select("pair_id", "name", F.col("name").alias("old_name"), F.col("size").alias("old_size"), F.col("sha256").alias("old_sha256"))
-    joined = n.join(o, ["pair_id", "name"], "full_outer").drop("name")
+    # Three branches read the mapped names; the slim join is evaluated once.
+    joined = materialize(n.join(o, ["pair_id", "name"], "full_outer").drop("name"))
     both = F.col("new_name").isNotNull() & F.col("old_name").isNotNull()
     same = joined.where(both).withColumn(
         "branch", F.when(F.col("new_sha256") == F.col("old_sha256"), UNCHANGED).otherwise(MODIFIED)

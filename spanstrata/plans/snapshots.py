@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import decide as V
 from ..operators import diff as D
 from ..operators import rules as R
-from ..operators.ordering import positions, range_bucket
+from ..operators.ordering import materialize, positions, range_bucket
 from . import base
 from .base import query, spread
 from .detection import labelled
@@ -20,6 +20,12 @@ NUM = "CAST(regexp_replace(source, '[^0-9]', '') AS INT)"
 
 
 def members(t):
+    if "_members" not in t.__dict__:
+        t.__dict__["_members"] = build_members(t)
+    return t.__dict__["_members"]
+
+
+def build_members(t):
     docs = spread(t.documents).select("doc_id", "source", "lang", F.encode("text", "UTF-8").alias("content"))
     ids = docs.select("doc_id", "source", "lang")
     placed = positions(ids, ["source", "lang"], [F.col("doc_id")], range_bucket(ids, F.col("doc_id")))
@@ -82,8 +88,11 @@ base.DEPENDS |= {
 
 
 def changed(t):
-    old, new = sides(t)
-    return D.changed_ranges(D.snapshot_members(old, new), old, new, 256)
+    """Member mapping with ranges (no contents), evaluated once per query."""
+    if "_changed" not in t.__dict__:
+        old, new = sides(t)
+        t.__dict__["_changed"] = materialize(D.changed_ranges(D.snapshot_members(old, new), old, new, 256))
+    return t.__dict__["_changed"]
 
 
 @query("j2_snapshot_members", "SELECT * FROM mapped WHERE branch <> 'renamed'", ("mapped",))
@@ -122,8 +131,8 @@ NEW_RULES = [(r"^en/.*\.dex$", "payload_container"), (r"\.so$", "payload_contain
 
 
 def diff_label_rows(t, include=True):
-    old, new = sides(t)
-    c = D.changed_ranges(D.snapshot_members(old, new), old, new, 256)
+    _, new = sides(t)
+    c = changed(t)
     fam = F.concat(F.lit("packer_"), F.col("pair_id").cast("string"))
     return D.diff_labels(c, D.diff_summary(c), fam, new, R.rule_policy(NEW_RULES), include_degenerate=include)
 
