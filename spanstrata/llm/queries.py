@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import os
+
+from pyspark.sql import functions as F
+
+from . import bpe, langid, packing
 from .common import table
 from .minhash import near_duplicates
 
 QUERIES, ORACLES = {}, {}
 
+#: Folder of the public vocabularies; every machine of a cluster needs it at this path.
+TOKENIZERS = os.environ.get("SPANSTRATA_TOKENIZERS", "/opt/tokenizers")
+#: Fixed value: what splits a text before the merges of the rank files.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 
 def query(name: str, sql: str | None = None):
     def register(fn):
@@ -44,3 +54,30 @@ GROUP BY d.doc_id, s.n"""
 def op10(spark, sf_dir):
     """Three-word shingles, similarity 0.85; see ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+@query("op4_first_fit_decreasing_packing")
+def op4(spark, sf_dir):
+    """Pieces of all documents, packed into sequences of 2048 ids."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+@query("op5_chunked_byte_bpe")
+def op5(spark, sf_dir):
+    """Ids of all documents and the bytes that they decode to, as digests."""
+    ranks = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, PATTERN), ranks)
+    return coded.select(
+        "doc_id", F.expr("bigint(octet_length(ids) / 4)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+HELD_OUT = F.expr("crc32(encode(string(doc_id), 'UTF-8')) % 4 = 2")
+
+
+@query("op9_language_of_segmentations")
+def op9(spark, sf_dir):
+    """Language of all documents; those with remainder 2 are not learnt from."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(langid.sample_of(docs.where(~HELD_OUT)), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return langid.predict(docs, model).withColumn("held_out", HELD_OUT)
