@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing
+from . import bpe, chat, langid, licenses, packing, pii, topk, urlfilter, vectordup
 from .common import table
 from .minhash import near_duplicates
 
@@ -28,6 +28,51 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+TOP_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024.0::DOUBLE * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
+
+
+@query("op1_impact_ordered_top_k", TOP_SQL)
+def op1(spark, sf_dir):
+    """Ten best other vectors of every vector whose vec_id is divisible by 100."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)), k=10)
+
+
+#: Verdicts of hosts and paths.
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query("op2_boosted_url_filter")
+def op2(spark, sf_dir):
+    """Verdict of every page's url: a rule's, else that of trees fitted on urls that rules decide."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+VECTOR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, min(r.y) AS component_id, e.vec_id = min(r.y) AS kept
+FROM embeddings e JOIN reach r ON r.x = e.vec_id LEFT JOIN n ON n.x = e.vec_id GROUP BY e.vec_id, n.n"""
+
+
+@query("op3_multi_index_vector_duplicates", VECTOR_SQL)
+def op3(spark, sf_dir):
+    """Vectors of equal labels with cosine 0.93 or more."""
+    return vectordup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 NEAR_SQL = f"""
@@ -72,12 +117,50 @@ def op5(spark, sf_dir):
     )
 
 
-HELD_OUT = F.expr("crc32(encode(string(doc_id), 'UTF-8')) % 4 = 2")
+HELD_OUT = "coalesce(crc32(encode(string(doc_id), 'UTF-8')) % 4 = 2, false)"
 
 
 @query("op9_language_of_segmentations")
 def op9(spark, sf_dir):
     """Language of all documents; those with remainder 2 are not learnt from."""
     docs = table(spark, sf_dir, "documents")
-    model = langid.fit(langid.sample_of(docs.where(~HELD_OUT)), f"{TOKENIZERS}/piece_bpe_32k.model")
-    return langid.predict(docs, model).withColumn("held_out", HELD_OUT)
+    model = langid.fit(langid.sample_of(docs.where(~F.expr(HELD_OUT))), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return langid.predict(docs, model).withColumn("held_out", F.expr(HELD_OUT))
+
+
+@query("op6_positional_license_scan")
+def op6(spark, sf_dir):
+    """License phrases and templates in all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op7_candidate_boosted_pii")
+def op7(spark, sf_dir):
+    """Personal data in all documents: counts and digest of base spans, and all spans."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@query("op8_typed_chat_format")
+def op8(spark, sf_dir):
+    """All conversations and one of control strings, formatted and read back."""
+    hard = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema)
+    shown = chat.conversations(chat.format_turns(rows.union(extra)))
+    back = chat.read_back(shown)
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learnt = F.array_join(F.transform("turns", lambda t: F.coalesce(t["learnt"], F.lit(""))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+        F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"), "formatted_chars",
+    )
