@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Evaluate once and cut the lineage with a reliable checkpoint.
+#: Folder of the public vocabularies; every machine of a cluster needs it at this path.
+TOKENIZERS = os.environ.get("SPANSTRATA_TOKENIZERS", "/opt/tokenizers")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder of reliable checkpoints, which all executors share.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``.  Only a
-    local session that names none (as in tests) gets a temporary one; on a cluster the
-    setting is required, for a folder of one machine would be lost to the others.
+    The session names it in ``spark.checkpoint.dir``.  Only a local session that names none
+    (as in tests) gets a temporary one; on a cluster the setting is required, for a folder of
+    one machine would be lost to the others.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -23,6 +28,12 @@ def settle(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="spanstrata-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Evaluates once and cuts the lineage with a reliable checkpoint."""
+    work_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import settle
 from .hashing import _BACK, _BASE
@@ -183,14 +184,15 @@ def fit(docs: DataFrame, model_path: str, rounds: int = ROUNDS) -> Model:
     return Model(languages, pieces, prob)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, lang_pred, score``: the likeliest language of each whole text and its posterior.
+def mark(docs: DataFrame, model: Model, language: str = "lang_pred", posterior: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """Adds two columns to those in ``keep`` (all): the likeliest language of each whole text and its posterior.
 
     The posterior supposes equally frequent languages.  A null text, or one without letters,
     is ``und`` with score 0, as is every text if no language was learnt.  Ties go to the first
     language in order of names.  Nothing but ``text`` is looked at; a null doc_id stays null;
-    rows that repeat get the same answer; other columns are ignored; no rows give no rows.
+    rows that repeat get the same answer; other columns are kept; no rows give no rows.
     """
+    keep = [c for c in docs.columns if c not in (language, posterior)] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.prob))  # vocabulary x languages
 
     def run(batches):
@@ -229,8 +231,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     learn([w for words in texts for w in words])
                 best = [score(words) if words and languages else None for words in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([languages[b[0]] if b else "und" for b in best], pa.string()), pa.array([b[1] if b else 0.0 for b in best], pa.float64())],
-                    names=["doc_id", "lang_pred", "score"],
+                    [*(part.column(c) for c in keep), pa.array([languages[b[0]] if b else "und" for b in best], pa.string()), pa.array([b[1] if b else 0.0 for b in best], pa.float64())],
+                    names=[*keep, language, posterior],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    docs = docs.select(*dict.fromkeys([*keep, "text"]))
+    fields = [*docs.select(*keep).schema.fields, T.StructField(language, T.StringType()), T.StructField(posterior, T.DoubleType())]
+    return docs.mapInArrow(run, T.StructType(fields))
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, lang_pred, score``, see ``mark``; other columns are ignored."""
+    return mark(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, keep=["doc_id"])

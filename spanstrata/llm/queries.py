@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import os
-
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from . import bpe, chat, langid, licenses, packing, pii, topk, urlfilter, vectordup
-from .common import table
+from .common import TOKENIZERS, table
 from .minhash import near_duplicates
 
 QUERIES, ORACLES = {}, {}
 
-#: Folder of the public vocabularies; every machine of a cluster needs it at this path.
-TOKENIZERS = os.environ.get("SPANSTRATA_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: what splits a text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -164,3 +161,6 @@ def op8(spark, sf_dir):
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
         F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"), "formatted_chars",
     )
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
