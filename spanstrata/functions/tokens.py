@@ -25,6 +25,21 @@ def byte_tokens(data: Column, max_length: int | None = None, special: bool = Tru
     return F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS))) if special else ids
 
 
+def token_sequences(data: Column, max_length: int) -> Column:
+    """All bytes as sequences of ``max_length`` tokens: ``seq_index`` and the fields of ``padded_tokens``.
+
+    Bytes beyond the first sequence follow in further ones, so none is lost; empty data has one sequence.
+    """
+    body = max_length - 2
+    last = F.floor(F.greatest(F.length(data) - 1, F.lit(0)) / body).cast("int")
+
+    def one(i):
+        part = padded_tokens(F.substring(data, i * body + 1, F.lit(body)), max_length)
+        return F.struct(i.alias("seq_index"), part["input_ids"].alias("input_ids"), part["attention_mask"].alias("attention_mask"), part["length"].alias("length"), (i < last).alias("continued"))
+
+    return F.transform(F.sequence(F.lit(0), last), one)
+
+
 def padded_tokens(data: Column, max_length: int) -> dict[str, Column]:
     """Fixed-length ids with mask, used length and truncation flag."""
     used = F.least(F.length(data) + 2, F.lit(max_length))
@@ -47,8 +62,8 @@ def repeated_blocks(data: Column, width: int) -> Column:
     return (F.length(data) >= width * 4) & F.exists(same, lambda x: x)
 
 
-def pattern_tokens(data: Column, hist: Column, size: Column, runs: Column, entry: Column, budget: int = 510) -> Column:
-    """Ordered descriptive tokens of a window, at most ``budget`` between BOS and EOS."""
+def pattern_tokens(data: Column, hist: Column, size: Column, runs: Column, entry: Column) -> Column:
+    """Ordered descriptive tokens of a window between BOS and EOS."""
     e = B.entropy(hist, size)
     text = B.printable_count(hist) / size
     at = lambda m: B.starts_with_bytes(data, m)
@@ -91,5 +106,5 @@ def pattern_tokens(data: Column, hist: Column, size: Column, runs: Column, entry
         F.when((size >= 16) & (tail_ff >= 12), "ALIGN_FF_PAD"),
         F.lit("PATTERN_END"),
     ]
-    listed = F.slice(F.filter(F.array(*tokens), lambda t: t.isNotNull()), 1, budget)
+    listed = F.filter(F.array(*tokens), lambda t: t.isNotNull())
     return F.concat(F.array(F.lit("[BOS]")), listed, F.array(F.lit("[EOS]")))

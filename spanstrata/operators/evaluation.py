@@ -265,7 +265,7 @@ def resample_counts(
     counted = materialize(df.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.lit(0)))
     # Score buckets ride along, so replicates need no second look at the score range.
     scores = cells[:-1]
-    counted = counted.withColumns({f"_bk_{c}": range_bucket(counted, F.col(c), 64) for c in scores})
+    counted = counted.withColumns({f"_bk_{c}": range_bucket(counted, F.col(c)) for c in scores})
     base, cells = list(cells), [*cells, *[f"_bk_{c}" for c in scores]]
     if method == "poisson":
         reps = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")

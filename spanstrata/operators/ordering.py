@@ -9,40 +9,67 @@ part contributed by earlier buckets.  Results equal the single-window form.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+MOST_BUCKETS = 256  # bounds the size of the generated condition
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Evaluate once and cut the lineage, in the reliable folder ``spark.checkpoint.dir``.
-
-    Used where a derived relation feeds several branches: without it every
-    branch, and every level of a chain of such steps, would repeat the scan.
-    """
-    sc = df.sparkSession.sparkContext
+def work_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            if not sc.master.startswith("local"):
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spanstrata-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A path below the work folder that nothing else uses."""
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Evaluate once and cut the lineage, in the reliable folder ``spark.checkpoint.dir``.
+
+    Used where a derived relation feeds several branches: without it every
+    branch, and every level of a chain of such steps, would repeat the scan.
+    """
+    work_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def range_bucket(df: DataFrame, value: Column, buckets: int = BUCKETS, descending: bool = False) -> Column:
-    """Monotone bucket number of a numeric value between its exact global min and max."""
-    stats = df.agg(
-        F.struct(F.min(value.cast("double")).alias("lo"), F.max(value.cast("double")).alias("hi")).alias("s")
-    ).scalar()
-    lo, hi = stats["lo"], stats["hi"]
-    share = F.when(hi > lo, (value.cast("double") - lo) / (hi - lo)).otherwise(F.lit(0.0))
-    number = F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
-    return (F.lit(buckets - 1) - number) if descending else number
+def range_bucket(df: DataFrame, value: Column, buckets: int | None = None, descending: bool = False) -> Column:
+    """Monotone bucket number of a numeric value between split points at its approximate quantiles.
+
+    The split points follow the values' distribution, so an outlier or a skewed range leaves
+    the buckets even; equal values share a bucket.  There are as many buckets as shuffle
+    partitions (at most MOST_BUCKETS).  Nulls have a null bucket.
+    """
+    if buckets is None:
+        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(2, min(buckets, MOST_BUCKETS))
+    number = value.cast("double")
+    shares = [i / buckets for i in range(1, buckets)]
+    found = df.select(number.alias("v")).stat.approxQuantile("v", shares, 0.25 / buckets)
+    splits = sorted(set(found))
+
+    def place(lo: int, hi: int) -> Column:
+        """Binary search among ``splits[lo:hi]`` as nested conditions."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(number < splits[mid], place(lo, mid)).otherwise(place(mid + 1, hi))
+
+    at = F.when(number.isNotNull(), place(0, len(splits)))
+    return (F.lit(len(splits)) - at) if descending else at
 
 
 def hash_bucket(hex_digest: Column) -> Column:

@@ -104,10 +104,10 @@ def batch_summary(pairs: DataFrame, dims: Sequence[str]) -> DataFrame:
     return cells.select("_n", "_r", F.inline(table)).groupBy("dimension", "value").agg(F.sum("_n").alias("n"), F.sum("_r").alias("n_review"))
 
 
-def labelled_training_rows(windows: DataFrame, samples: DataFrame, key: str, cap: int) -> DataFrame:
-    """Windows of probed samples with the container's label, at most ``cap`` leading windows per object."""
+def labelled_training_rows(windows: DataFrame, samples: DataFrame, key: str) -> DataFrame:
+    """All windows of probed samples with the container's label."""
     s = samples.where("label IS NOT NULL").select(key, F.col("label").alias("label_id"))
-    return windows.where(F.col("window_index") < cap).join(s, key)
+    return windows.join(s, key)
 
 
 def inventory(files: DataFrame, source: str, family: str, path: str, size: str, k: int = 3) -> DataFrame:

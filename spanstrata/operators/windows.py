@@ -124,6 +124,6 @@ def section_windows(
     return inside.unionByName(typed_windows(bare, width, stride, min_size))
 
 
-def leading_windows(windows: DataFrame, per_object: int) -> DataFrame:
-    """The first ``per_object`` windows of each object, by the index made while cutting."""
-    return windows.where(F.col("window_index") < per_object)
+def leading_windows(windows: DataFrame, per_object: int | None = None) -> DataFrame:
+    """All windows, or the first ``per_object`` of each object by the index made while cutting."""
+    return windows if per_object is None else windows.where(F.col("window_index") < per_object)

@@ -53,15 +53,14 @@ def with_ctes(body: str, *names: str) -> str:
     return f"WITH {heads}\n{body}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Widen a scan that has fewer splits than the cluster has cores.
+def dealt(df: DataFrame) -> DataFrame:
+    """Deals the rows out evenly if the session asks for it in ``spanstrata.spread``.
 
-    Large inputs already arrive in many splits and pass through unchanged, so no
-    shuffle is added where it would cost.
+    Files of one row group cannot be split by a scan; whoever reads a few of them sets the
+    number of partitions.  Without the setting nothing is shuffled, whatever the input's size.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    n = df.sparkSession.conf.get("spanstrata.spread", None)
+    return df.repartition(int(n)) if n else df
 
 
 # One text for both engines.
@@ -95,7 +94,7 @@ class Tables:
     @cached_property
     def objects(self) -> DataFrame:
         """container, object_id, object_path, content and the source columns of a document."""
-        return spread(self.documents).select(
+        return dealt(self.documents).select(
             F.col("source").alias("container"),
             F.format_string("%s:%06d", "source", "doc_id").alias("object_id"),
             F.expr(PATH_SQL).alias("object_path"),
@@ -107,7 +106,7 @@ class Tables:
     @cached_property
     def probes(self) -> DataFrame:
         """Objects with varied paths and leading magic bytes, for classification."""
-        return spread(self.documents).select(
+        return dealt(self.documents).select(
             "doc_id",
             F.col("source").alias("container"),
             F.expr(PROBE_PATH_SQL).alias("object_path"),

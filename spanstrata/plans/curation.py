@@ -105,14 +105,14 @@ def a18(t):
 @query(
     "a25_labelled_training_rows",
     """SELECT w.container, label_id, count(*) AS rows, sum(wn)::BIGINT AS bytes FROM windows w JOIN (SELECT DISTINCT source AS container, CASE regexp_replace(source, '[^0-9]', '', 'g')::INT % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS label_id FROM documents) USING (container)
-WHERE label_id IS NOT NULL AND window_index < 8 GROUP BY ALL""",
+WHERE label_id IS NOT NULL GROUP BY ALL""",
     ("windows",),
 )
 def a25(t):
     samples = t.documents.select(F.col("source").alias("container")).distinct().withColumn(
         "label", F.expr("CASE CAST(regexp_replace(container, '[^0-9]', '') AS INT) % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END")
     )
-    rows = S.labelled_training_rows(scored_windows(t), samples, "container", 8)
+    rows = S.labelled_training_rows(scored_windows(t), samples, "container")
     return rows.groupBy("container", "label_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
 
 
@@ -135,11 +135,11 @@ def f7(t):
 
 @query(
     "f8_bounded_top_k",
-    """SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem WHERE l_discount >= 0.02 ORDER BY (l_returnflag = 'R') DESC, l_shipdate DESC, l_extendedprice DESC, l_orderkey, l_linenumber, l_suppkey, l_partkey LIMIT 300""",
+    """SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem ORDER BY (l_returnflag = 'R') DESC, l_shipdate DESC, l_extendedprice DESC, l_orderkey, l_linenumber, l_suppkey, l_partkey LIMIT 300""",
 )
 def f8(t):
     rank = [F.expr("l_returnflag = 'R'").desc(), F.desc("l_shipdate"), F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"]
-    return t.lineitem.where("l_discount >= 0.02").orderBy(*rank).limit(300).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    return t.lineitem.orderBy(*rank).limit(300).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
 
 
 

@@ -249,7 +249,7 @@ def e18_summary(t):
     return E.fold_summary(E.fold_results(t.scored, "fold", S(), Y()))
 
 
-BOOT_B = 20
+BOOT_B = 200
 
 
 def boot_sql(extra: str) -> str:

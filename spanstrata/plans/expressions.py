@@ -351,16 +351,14 @@ def p26(t):
 
 @query(
     "p27_byte_tokens",
-    """SELECT conv_id, turn, array_to_string(list_concat(list_concat(list_concat([1], list_transform(range(0, least(n, 126)), lambda k: ('0x' || substr(hx, 2 * k + 1, 2))::INTEGER + 5)), [2]),
-    list_transform(range(0, greatest(126 - n, 0)), lambda k: 0)), ',') AS input_ids, least(n + 2, 128)::INTEGER AS length, n > 126 AS truncated
-FROM (SELECT conv_id, turn, hex(encode(text)) AS hx, octet_length(encode(text)) AS n FROM conversations)""",
+    """SELECT conv_id, turn, seq_index::INTEGER AS seq_index, array_to_string(list_concat(list_concat(list_concat([1], list_transform(range(0, n), lambda k: ('0x' || substr(hx, 2 * k + 1, 2))::INTEGER + 5)), [2]),
+    list_transform(range(0, 126 - n), lambda k: 0)), ',') AS input_ids, (n + 2)::INTEGER AS length, continued
+FROM (SELECT conv_id, turn, seq_index, substr(hx, 252 * seq_index + 1, 252) AS hx, least(n - 126 * seq_index, 126) AS n, seq_index < greatest(n - 1, 0) // 126 AS continued
+  FROM (SELECT conv_id, turn, hex(encode(text)) AS hx, octet_length(encode(text)) AS n, unnest(range(0, greatest(octet_length(encode(text)) - 1, 0) // 126 + 1)) AS seq_index FROM conversations))""",
 )
 def p27(t):
-    tok = T.padded_tokens(F.encode("text", "UTF-8"), 128)
-    return t.conversations.select(
-        "conv_id", "turn", F.array_join(tok["input_ids"].cast("array<string>"), ",").alias("input_ids"), tok["length"].alias("length"),
-        tok["truncated"].alias("truncated"),
-    )
+    rows = t.conversations.select("conv_id", "turn", F.inline(T.token_sequences(F.encode("text", "UTF-8"), 128)))
+    return rows.withColumn("input_ids", F.array_join(F.col("input_ids").cast("array<string>"), ",")).drop("attention_mask")
 
 
 @query(

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import r6
 from ..operators import ml as ML
 from ..operators import summaries as S
+from ..operators.metrics import ranking_quality
+from ..operators.ordering import materialize, work_path
 from ..sources import archives as A
 from ..sources import catalogs as C
 from ..sources import jsonl as J
@@ -20,12 +20,7 @@ from .detection import MIN, STRIDE, WIDTH, labelled, windows
 
 def scratch(t, name: str) -> str:
     """A fresh folder next to the checkpoints, which all executors can reach."""
-    from ..operators.ordering import materialize
-
-    sc = t.spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        materialize(t.spark.range(1))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return work_path(t.spark, name)
 
 
 ORDER_SCHEMA = "o_custkey BIGINT, o_orderkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE"
@@ -39,10 +34,12 @@ def s1(t):
     return J.read_jsonl(t.spark, path, T.StructType.fromDDL(ORDER_SCHEMA))
 
 
-@query("s2_write_count", "SELECT count(*) AS written FROM orders")
+@query("s2_write_count", "SELECT o_orderstatus, count(*) AS written, (SELECT count(*) FROM orders) AS reported FROM orders GROUP BY o_orderstatus")
 def s2(t):
-    n = J.write_jsonl(t.orders.select(*ORDER_COLS), scratch(t, "orders"))
-    return t.orders.limit(1).select(F.lit(n).cast("bigint").alias("written"))
+    path = scratch(t, "orders")
+    n = J.write_jsonl(t.orders.select(*ORDER_COLS), path)
+    rows = J.read_jsonl(t.spark, path, T.StructType.fromDDL(ORDER_SCHEMA))
+    return rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("written"), F.lit(n).cast("bigint").alias("reported"))
 
 
 @query("s3_versioned_rewrite", "SELECT o_orderkey, o_custkey % 7 AS enriched FROM orders")
@@ -80,6 +77,8 @@ def zip_of(doc_id: int, text: str, lang: str) -> bytes:
             z.writestr("lib/x/a.so", "stub")
         if doc_id % 3 == 0:
             z.writestr("assets/inner.zip", inner.getvalue())
+        if doc_id % 5 == 0:
+            z.writestr("assets/x.dex", "more")
     return outer.getvalue()
 
 
@@ -90,11 +89,16 @@ def archives(t):
 @query(
     "s5_explode_members",
     """SELECT doc_id::VARCHAR AS container, concat('assets/', lang, '.txt') AS object_path, 0 AS depth, octet_length(encode(text))::INTEGER AS size, sha256(text) AS sha256 FROM documents WHERE doc_id % 50 <> 7
-UNION ALL SELECT doc_id::VARCHAR, 'lib/x/a.so', 0, 4, sha256('stub') FROM documents WHERE doc_id % 50 <> 7 AND doc_id % 2 = 0""",
+UNION ALL SELECT doc_id::VARCHAR, 'lib/x/a.so', 0, 4, sha256('stub') FROM documents WHERE doc_id % 50 <> 7 AND doc_id % 2 = 0
+UNION ALL SELECT doc_id::VARCHAR, 'assets/x.dex', 0, 4, sha256('more') FROM documents WHERE doc_id % 50 <> 7 AND doc_id % 5 = 0
+UNION ALL SELECT doc_id::VARCHAR, 'assets/inner.zip!classes.dex', 1, octet_length(encode(text))::INTEGER, sha256(reverse(text)) FROM documents WHERE doc_id % 50 <> 7 AND doc_id % 3 = 0
+UNION ALL SELECT doc_id::VARCHAR, 'assets/inner.zip', 0, NULL, NULL FROM documents WHERE doc_id % 50 <> 7 AND doc_id % 3 = 0""",
 )
 def s5(t):
     members, _ = A.explode_members(archives(t))
-    return members.where("object_path NOT LIKE '%inner.zip%'").select("container", "object_path", "depth", "size", "sha256")
+    # the bytes of the nested archive itself are the zip writer's own (times, order of fields)
+    own = F.col("object_path") != "assets/inner.zip"
+    return members.select("container", "object_path", "depth", F.when(own, F.col("size")).alias("size"), F.when(own, F.col("sha256")).alias("sha256"))
 
 
 @query(
@@ -113,7 +117,7 @@ def s5_bad(t):
 
 @query(
     "s6_member_probe",
-    "SELECT doc_id::VARCHAR AS container, CASE WHEN doc_id % 50 <> 7 THEN doc_id % 2 = 0 END AS has_native, CASE WHEN doc_id % 50 <> 7 THEN doc_id % 3 = 0 END AS has_nested_code FROM documents",
+    "SELECT doc_id::VARCHAR AS container, CASE WHEN doc_id % 50 <> 7 THEN doc_id % 2 = 0 END AS has_native, CASE WHEN doc_id % 50 <> 7 THEN doc_id % 5 = 0 END AS has_nested_code FROM documents",
 )
 def s6(t):
     return A.probe_members(archives(t))
@@ -219,39 +223,50 @@ def t2(t):
 def t3(t):
     src, root, ck = scratch(t, "labels"), scratch(t, "table"), scratch(t, "ck")
     schema = T.StructType.fromDDL("o_orderkey BIGINT, stage STRING, label STRING")
-    latest = {}
-
-    def current(spark):
-        return spark.read.schema(schema).json(latest["path"]) if latest else None
-
-    def write(df, batch_id):
-        latest["path"] = J.write_version(df, root, str(batch_id))
-
     first = t.orders.selectExpr("o_orderkey", "'a' AS stage", "CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS label")
+    older = t.orders.where("o_orderkey % 4 = 0").selectExpr("o_orderkey", "'aa' AS stage", "'old' AS label")
     second = t.orders.where("o_orderkey % 2 = 0").selectExpr("o_orderkey", "'b' AS stage", "CAST(NULL AS STRING) AS label")
-    for part in (first, second):
+    for part in (first, second.unionByName(older)):
         part.write.mode("append").parquet(src)
-        I.upsert_labels(I.new_files(t.spark, src, schema), current, write, ["o_orderkey"], ["label"], ck).awaitTermination()
-    return current(t.spark)
+        I.upsert_labels(I.new_files(t.spark, src, schema), root, ["o_orderkey"], ["label"], ["stage"], ck).awaitTermination()
+    return I.current_table(t.spark, root, schema)
 
 
 # ---- models ---------------------------------------------------------------------------------
 
 
-@query("m1_ngram_model")
-def m1(t):
+MODEL_FOLD = "CAST(regexp_replace(container, '[^0-9]', '') AS INT) % 4"
+
+
+def ngram_scores(t):
     w = windows(t).select("container", "object_id", "window_id", "data", "offset_start", "offset_end").join(
         labelled(t).select("container", "window_id", "label_id"), ["container", "window_id"]
     )
-    fold = F.pmod(F.xxhash64("container"), F.lit(4))
-    model = ML.fit_ngram_model(w.where(fold != 0), "label_id", 1 << 16)
-    return ML.score_ngram_model(model, w.where(fold == 0).drop("label_id")).select("container", "window_id", r6(F.col("score")).alias("score"))
+    w = materialize(w.withColumn("fold", F.expr(MODEL_FOLD)))
+    return ML.out_of_fold_ngram_scores(w, "label_id", "fold", range(4))
+
+
+@query("m1_ngram_model")
+def m1(t):
+    return ngram_scores(t).select("container", "window_id", "fold", r6(F.col("score")).alias("score"))
+
+
+@query(
+    "m1_scored_windows",
+    """SELECT container, window_id, (regexp_replace(container, '[^0-9]', '', 'g')::INT % 4)::INTEGER AS fold, label_id, true AS in_range, true AS better_than_chance FROM labelled""",
+    ("labelled",),
+)
+def m1_scored(t):
+    """All windows once, with scores in [0, 1] that rank hidden passages above chance."""
+    s = materialize(ngram_scores(t).select("container", "window_id", "fold", "label_id", "score"))
+    auroc = ranking_quality(s, F.col("score"), F.col("label_id"), []).select(F.col("auroc") > 0.5).scalar()
+    return s.select("container", "window_id", "fold", "label_id", F.col("score").between(0, 1).alias("in_range"), auroc.alias("better_than_chance"))
 
 
 @query("m2_boosted_folds")
 def m2(t):
     rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), (F.col("label") < 5).cast("int").alias("y"), (F.col("vec_id") % 2).alias("fold"))
-    return ML.boosted_fold_scores(rows, "v", "y", "fold", [0, 1], trees=10).select("vec_id", "y", "fold", r6(F.col("score")).alias("score"))
+    return ML.boosted_fold_scores(rows, "v", "y", "fold", [0, 1]).select("vec_id", "y", "fold", r6(F.col("score")).alias("score"))
 
 
 @query(

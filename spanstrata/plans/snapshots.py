@@ -13,7 +13,7 @@ from ..operators import diff as D
 from ..operators import rules as R
 from ..operators.ordering import materialize, positions, range_bucket
 from . import base
-from .base import query, spread
+from .base import dealt, query
 from .detection import labelled
 
 NUM = "CAST(regexp_replace(source, '[^0-9]', '') AS INT)"
@@ -26,7 +26,7 @@ def members(t):
 
 
 def build_members(t):
-    docs = spread(t.documents).select("doc_id", "source", "lang", F.encode("text", "UTF-8").alias("content"))
+    docs = dealt(t.documents).select("doc_id", "source", "lang", F.encode("text", "UTF-8").alias("content"))
     ids = docs.select("doc_id", "source", "lang")
     placed = positions(ids, ["source", "lang"], [F.col("doc_id")], range_bucket(ids, F.col("doc_id")))
     num = F.expr(NUM)
@@ -436,11 +436,10 @@ def v5(t):
 
 @query(
     "v6_leaked_keys",
-    "SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49 AND l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 49)",
+    "SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'N')",
 )
 def v6(t):
-    hot = t.lineitem.where("l_quantity > 49")
-    return V.leaked_keys(hot.where("l_returnflag = 'N'"), hot.where("l_returnflag = 'R'"), "l_suppkey")
+    return V.leaked_keys(t.lineitem.where("l_returnflag = 'N'"), t.lineitem.where("l_returnflag = 'R'"), "l_suppkey")
 
 
 @query(

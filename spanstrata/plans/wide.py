@@ -84,11 +84,22 @@ def p20(t):
     return S.eligible_rows(m, "path", "p_partkey", 100).select("p_partkey", "p_name")
 
 
-@query("u5_unzip_table_function", "SELECT 'x' AS k, count(*) AS n FROM documents WHERE doc_id % 50 <> 7 AND doc_id % 3 = 0")
+@query(
+    "u5_unzip_table_function",
+    """SELECT doc_id::VARCHAR AS container, object_path, depth, n FROM (
+  SELECT doc_id, concat('assets/', lang, '.txt') AS object_path, 0 AS depth, octet_length(encode(text))::INTEGER AS n FROM documents WHERE doc_id % 50 <> 7
+  UNION ALL SELECT doc_id, 'lib/x/a.so', 0, 4 FROM documents WHERE doc_id % 50 <> 7 AND doc_id % 2 = 0
+  UNION ALL SELECT doc_id, 'assets/x.dex', 0, 4 FROM documents WHERE doc_id % 50 <> 7 AND doc_id % 5 = 0
+  UNION ALL SELECT doc_id, 'assets/inner.zip!classes.dex', 1, octet_length(encode(text))::INTEGER FROM documents WHERE doc_id % 50 <> 7 AND doc_id % 3 = 0
+  UNION ALL SELECT doc_id, 'assets/inner.zip', 0, NULL FROM documents WHERE doc_id % 50 <> 7 AND doc_id % 3 = 0)""",
+)
 def u5(t):
     from ..sources.archives import register_unzip
     from .files import archives
 
     register_unzip(t.spark)
-    rows = t.spark.sql("SELECT 'x' AS k, count(*) AS n FROM {a}, LATERAL unzip_members({a}.archive, 1) m WHERE m.depth = 1", a=archives(t))
-    return rows
+    return t.spark.sql(
+        "SELECT {a}.container, m.object_path, m.depth, CASE WHEN m.object_path <> 'assets/inner.zip' THEN length(m.content) END AS n "
+        "FROM {a}, LATERAL unzip_members({a}.archive, 1) m WHERE m.error IS NULL",
+        a=archives(t),
+    )

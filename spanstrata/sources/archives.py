@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import sys
 import zipfile
+import zlib
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,9 @@ ARCHIVES = (".apk", ".jar", ".zip")
 
 
 def unzip(data: bytes, name: str, max_depth: int, max_member_bytes: int | None):
-    """Yield member tuples; one counter runs across nesting, a bad nested archive is skipped."""
+    """Yield member tuples; one counter runs across nesting, a bad nested archive is skipped.
+
+    A member that cannot be read yields a row with its path and the error."""
     index = 0
     stack = [(data, "", 0, name, None)]
     while stack:
@@ -52,9 +55,13 @@ def unzip(data: bytes, name: str, max_depth: int, max_member_bytes: int | None):
         for info in infos:
             if max_member_bytes is not None and info.file_size > max_member_bytes:
                 continue
-            body = archive.read(info)
             path = info.filename.replace("\\", "/")
             full = f"{prefix}!{path}" if prefix else path
+            try:
+                body = archive.read(info)
+            except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as bad:  # corrupt, encrypted, unknown method
+                yield (-1, full, depth, parent, None, info.compress_size, None, f"{type(bad).__name__}: {bad}")
+                continue
             kind = "stored" if info.compress_type == zipfile.ZIP_STORED else "deflated" if info.compress_type == zipfile.ZIP_DEFLATED else "other"
             yield (index, full, depth, parent, kind, info.compress_size, body, None)
             index += 1
@@ -99,19 +106,27 @@ def explode_members(archives: DataFrame, max_depth: int = 1, max_member_bytes: i
         "object_path", object_type(F.col("object_path"), F.col("content")).alias("object_type"), F.length("content").alias("size"),
         F.sha2("content", 256).alias("sha256"), "depth", "parent", "compression", "compressed_size", "content",
     )
-    return members, rows.where("error IS NOT NULL").select("container", "container_path", "error")
+    return members, rows.where("error IS NOT NULL").select("container", "container_path", "object_path", "error")
 
 
 def probe_members(archives: DataFrame) -> DataFrame:
-    """has_native / has_nested_code per container from member names; NULL when unreadable."""
-    members, errors = explode_members(archives, max_depth=0)
-    p = F.lower("object_path")
-    flags = members.groupBy("container").agg(
-        F.bool_or(p.startswith("lib/") & p.endswith(".so")).alias("has_native"),
-        F.bool_or(p.startswith("assets/") & p.rlike(r"\.(dex|jar|apk|zip)$")).alias("has_nested_code"),
-    )
-    bad = errors.select("container", F.lit(None).cast("boolean").alias("has_native"), F.lit(None).cast("boolean").alias("has_nested_code"))
-    return flags.unionByName(bad)
+    """has_native / has_nested_code per container from member names alone; NULL when unreadable."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(batch.num_rows):  # one archive at a time in memory
+                row = batch.slice(at, 1)
+                try:
+                    names = [n.replace("\\", "/").lower() for n in zipfile.ZipFile(io.BytesIO(row.column("archive")[0].as_py())).namelist()]
+                    native = any(n.startswith("lib/") and n.endswith(".so") for n in names)
+                    nested = any(n.startswith("assets/") and n.endswith(".dex") for n in names)
+                except (zipfile.BadZipFile, TypeError):
+                    native = nested = None
+                yield pa.RecordBatch.from_arrays([row.column("container"), pa.array([native], pa.bool_()), pa.array([nested], pa.bool_())], names=["container", "has_native", "has_nested_code"])
+
+    return archives.select("container", "archive").mapInArrow(run, "container string, has_native boolean, has_nested_code boolean")
 
 
 def register_unzip(spark: SparkSession, name: str = "unzip_members") -> None:

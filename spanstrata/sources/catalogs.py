@@ -22,13 +22,8 @@ def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, path: str, required: Sequence[str], targets: DataFrame | None = None, key: str = "pkg_name") -> DataFrame:
-    """CSV (also .gz) catalogue with required columns, optionally only rows of target keys.
-
-    A gzip file cannot be split, so its rows are spread after reading.
-    """
+    """CSV (also compressed) catalogue with required columns, optionally only rows of target keys."""
     rows = require_columns(spark.read.option("header", True).csv(path), required)
-    if path.endswith(".gz"):
-        rows = rows.repartition(spark.sparkContext.defaultParallelism)
     return rows.join(targets.select(key), key, "left_semi") if targets is not None else rows
 
 

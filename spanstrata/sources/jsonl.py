@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,22 +27,32 @@ def read_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     """Bad lines are skipped; a missing path is an empty table."""
     try:
         return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
-    """Columns in sorted order; returns the row count, taken while writing."""
-    seen = Observation()
-    out = df.select(*sorted(df.columns)).observe(seen, F.count(F.lit(1)).alias("n"))
-    out.write.mode(mode).json(path)
-    return seen.get["n"]
+    """Columns in sorted order; returns the number of rows written, counted in the files."""
+    spark = df.sparkSession
+    before = spark.read.text(path).count() if mode == "append" and _exists(spark, path) else 0
+    df.select(*sorted(df.columns)).write.mode(mode).json(path)
+    return spark.read.text(path).count() - before
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
 def write_version(df: DataFrame, root: str, version: str) -> str:
-    """Write an enriched table as a new version; the source it was read from is never overwritten."""
+    """Write an enriched table as a new version; the source it was read from is never overwritten.
+
+    A version that is being written again (a repeated batch) replaces its own earlier attempt.
+    """
     target = f"{root.rstrip('/')}/version={version}"
-    df.write.mode("errorifexists").json(target)
+    df.write.mode("overwrite").json(target)
     return target
 
 
