@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,11 @@ GROUP = 4096  # pieces that are packed together
 CACHE = 400_000  # chunks of text whose ids a worker remembers
 
 
+#: Byte-level alphabet: bytes without a printable Latin-1 character stand as characters from 256 on, in order.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+BYTE_LEVEL = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+
+
 class ChunkEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers, by a tokenizer that drops white space.
 
@@ -24,7 +30,9 @@ class ChunkEncoder:
     chunks between ASCII white space, one after the other, and a chunk met before needs no
     second run.  A full stop or comma after an ASCII letter is a pre-token of its own.  A-Z
     are lower-cased first, as the tokenizer does later, unless the text has combining marks,
-    which could compose differently with a small letter.
+    which could compose differently with a small letter.  A new chunk of small letters alone
+    (up to U+024F, composed) is one pre-token and goes straight to the merges; any other one
+    goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -32,6 +40,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, text: bytes) -> bytes:
@@ -49,8 +58,19 @@ class ChunkEncoder:
             self.known.clear()
         known, new = self.known, {c for c in chunks if c not in self.known}
         ended = {c for c in new if c[-1:] in (b".", b",") and c[-2:-1].isalpha()}
-        plain = [c for c in (new - ended) | {c[:-1] for c in ended} | {c[-1:] for c in ended} if c not in known]
-        for c, e in zip(plain, self.tokenizer.encode_batch_fast([c.decode() for c in plain], add_special_tokens=False), strict=True):
+        odd, tokenize = [], self.model.tokenize
+        for c in (new - ended) | {c[:-1] for c in ended} | {c[-1:] for c in ended}:
+            if c in known:
+                continue
+            if c.isalpha() and c.islower():  # one pre-token as it stands
+                known[c] = array("I", [t.id for t in tokenize(c.decode())]).tobytes()
+                continue
+            word = c.decode()
+            if word.isalpha() and word.islower() and max(word) < "\u0250" and is_normalized("NFC", word):
+                known[c] = array("I", [t.id for t in tokenize(c.decode("latin-1").translate(BYTE_LEVEL))]).tobytes()
+            else:
+                odd.append((c, word))
+        for (c, _), e in zip(odd, self.tokenizer.encode_batch_fast([w for _, w in odd], add_special_tokens=False), strict=True):
             known[c] = array("I", e.ids).tobytes()
         for c in ended:
             known[c] = known[c[:-1]] + known[c[-1:]]
