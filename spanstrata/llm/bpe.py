@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import functools
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +14,11 @@ OVERLAP = 1_024  # characters that a chunk shares with the next one
 ROWS = 512  # texts in a batch of results
 
 
-@functools.lru_cache(maxsize=4)
 def _ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@functools.lru_cache(maxsize=4)
 def _encoding(path: str, pattern: str):
     import tiktoken
 
