@@ -2,49 +2,115 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bytes as B
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Passages of at most so many bytes in all are sent to every task; more are joined by their blocks.
+SENT_BYTES = 32 << 20
+ANCHOR = 8
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _number(anchor: bytes) -> int:
+    return int.from_bytes(anchor, "little")
+
+
+class Needles:
+    """Finds all places of many needles in one pass: a table of their first eight bytes, then the bytes themselves."""
+
+    def __init__(self, needles: list[tuple[int, bytes]]):
+        self.short = [(k, n) for k, n in needles if 0 < len(n) < ANCHOR]
+        self.by_anchor: dict[int, list[tuple[int, bytes]]] = {}
+        for k, n in needles:
+            if len(n) >= ANCHOR:
+                self.by_anchor.setdefault(_number(n[:ANCHOR]), []).append((k, n))
+        self.table = np.zeros(1 << 16, dtype=bool)
+        if self.by_anchor:
+            self.table[(np.array(list(self.by_anchor), dtype=np.uint64) * _SPREAD) >> np.uint64(48)] = True
+
+    def places(self, data: bytes):
+        """``(needle, offset)`` of every occurrence, overlapping ones too."""
+        for k, n in self.short:
+            at = data.find(n)
+            while at >= 0:
+                yield k, at
+                at = data.find(n, at + 1)
+        if len(data) < ANCHOR or not self.by_anchor:
+            return
+        one = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
+        two = one[:-1] | (one[1:] << np.uint64(8))
+        four = two[:-2] | (two[2:] << np.uint64(16))
+        eight = four[:-4] | (four[4:] << np.uint64(32))
+        for at in np.flatnonzero(self.table[(eight * _SPREAD) >> np.uint64(48)]).tolist():
+            for k, n in self.by_anchor.get(int(eight[at]), ()):
+                if data.startswith(n, at):
+                    yield k, at
+
 
 def locate_passages(objects: DataFrame, passages: DataFrame, block: int = 16) -> DataFrame:
-    """First byte interval of every passage in every object that contains it.
+    """Every byte interval at which a passage stands in an object.
 
     objects: container, object_id, object_path, content BINARY.
-    passages: item_id, needle BINARY of at least ``2 * block - 1`` bytes (shorter ones raise).
+    passages: item_id, needle BINARY; null and empty needles stand nowhere.
 
-    Any occurrence of such a passage covers one whole aligned block of the
-    object, so objects are reduced to their aligned blocks and joined by value
-    with the blocks found at the first ``block`` offsets of each passage.
-    Candidates are then verified against the full bytes.
+    Passages of at most SENT_BYTES bytes in all (that is checked) go to every task, which
+    looks for all of them while it reads an object: no byte of an object is shuffled.  Beyond
+    that size objects and passages are joined by aligned blocks.
     """
+    known = passages.where("length(needle) > 0").select("item_id", "needle")
+    size, shortest = known.agg(F.coalesce(F.sum(F.length("needle") + 16), F.lit(0)), F.min(F.length("needle"))).first()
+    if size > SENT_BYTES and shortest >= 2 * block - 1:
+        hits = _by_blocks(objects, known, block)
+    else:
+        rows = known.collect()  # SENT_BYTES at most, or passages too short for blocks
+        hits = _by_scan(objects, Needles([(i, bytes(r["needle"])) for i, r in enumerate(rows)]), [(r["item_id"], len(r["needle"])) for r in rows])
+        digests = known.select("item_id", F.sha2("needle", 256).alias("payload_sha256"))
+        return hits.join(digests.distinct(), "item_id").select("container", "object_id", "object_path", "item_id", "offset_start", "offset_end", "payload_sha256")
+    return hits
+
+
+def _by_scan(objects: DataFrame, needles: Needles, items: list[tuple[int, int]]) -> DataFrame:
+    keys = ["container", "object_id", "object_path"]
+
+    def run(batches):
+        for batch in batches:
+            rows, item, start = [], [], []
+            for i, content in enumerate(batch.column("content")):
+                for k, at in needles.places(content.as_buffer().to_pybytes() if content.is_valid else b""):
+                    rows.append(i), item.append(k), start.append(at)
+            part = batch.select(keys).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array([items[k][0] for k in item], pa.int64()), pa.array(start, pa.int64()), pa.array([s + items[k][1] for s, k in zip(start, item)], pa.int64())],
+                names=[*keys, "item_id", "offset_start", "offset_end"],
+            )
+
+    return objects.select(*keys, "content").mapInArrow(run, "container string, object_id string, object_path string, item_id long, offset_start long, offset_end long")
+
+
+def _by_blocks(objects: DataFrame, passages: DataFrame, block: int) -> DataFrame:
+    """Any occurrence of a passage of ``2 * block - 1`` bytes covers one whole aligned block of the
+    object; the blocks are joined by value with those at the passage's first offsets and verified."""
     keys = ["container", "object_id", "object_path"]
     cells = objects.select(*keys, F.posexplode(B.blocks(F.col("content"), block)).alias("_b", "_block"))
-    text = F.when(
-        F.length("needle") < 2 * block - 1,
-        F.raise_error(F.lit(f"passages shorter than {2 * block - 1} bytes need a smaller block")),
-    ).otherwise(B.latin1(F.col("needle")))
     anchors = (
-        passages.select("item_id", F.length("needle").alias("_len"), text.alias("_t"))
-        .select("item_id", "_len", "_t", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("_o"))
+        passages.select("item_id", B.latin1(F.col("needle")).alias("_t"))
+        .select("item_id", "_t", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("_o"))
         .select("item_id", "_o", F.substring(F.col("_t"), F.col("_o") + 1, F.lit(block)).alias("_block"))
     )
-    candidates = (
-        cells.join(anchors, "_block")
-        .select(*keys, "item_id", (F.col("_b") * block - F.col("_o")).alias("_x"))
-        .where(F.col("_x") >= 0)
-        .distinct()
-    )
+    candidates = cells.join(anchors, "_block").select(*keys, "item_id", (F.col("_b") * block - F.col("_o")).alias("_x")).where(F.col("_x") >= 0).distinct()
     checked = (
         candidates.join(objects.select("container", "object_id", "content"), ["container", "object_id"])
-        .join(passages.select("item_id", "needle"), "item_id")
+        .join(passages, "item_id")
         .where(F.substring(F.col("content"), F.col("_x") + 1, F.length("needle")) == F.col("needle"))
     )
-    return checked.groupBy(*keys, "item_id", "needle").agg(F.min("_x").cast("long").alias("offset_start")).select(
-        *keys,
-        "item_id",
-        "offset_start",
-        (F.col("offset_start") + F.length("needle")).alias("offset_end"),
-        F.sha2("needle", 256).alias("payload_sha256"),
-    )
+    start = F.col("_x").cast("long")
+    return checked.select(*keys, "item_id", start.alias("offset_start"), (start + F.length("needle")).alias("offset_end"), F.sha2("needle", 256).alias("payload_sha256"))
