@@ -68,13 +68,18 @@ def suffix(path: Column) -> Column:
     return F.regexp_extract(base_name(path), r"(\.[^./]+)$", 1)
 
 
+def path_suffix(path: Column) -> Column:
+    """Like ``suffix``, but a base name that is all extension (``.dex``) has none."""
+    return F.regexp_extract(base_name(path), r".(\.[^./]+)$", 1)
+
+
 def is_zip(data: Column) -> Column:
     return B.starts_with_bytes(data, ZIP) | B.starts_with_bytes(data, ZIP_EMPTY)
 
 
 def object_type(path: Column, data: Column) -> Column:
     p = clean_path(path)
-    s = suffix(p)
+    s = path_suffix(p)
     return first_match(
         [
             (s == ".dex", "dex"),

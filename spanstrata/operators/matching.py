@@ -209,7 +209,9 @@ def match_origins(packed: DataFrame, origins: DataFrame) -> DataFrame:
     )
     o = origins.select("origin", F.substring_index("origin", "_", 1).alias("_head"))
     exact = listed.unionByName(prefixes).join(o.select(F.col("origin").alias("cand"), "origin"), "cand").select("stem", "p", "origin")
-    loose = prefixes.select("stem", F.lit(200).alias("p"), F.col("cand").alias("_head")).join(o, "_head").select("stem", "p", "origin")
+    # of the origins of one head only the longest (then the first) can be the answer
+    heads = o.groupBy("_head").agg(F.min(F.struct((-F.length("origin")).alias("l"), "origin"))["origin"].alias("origin"))
+    loose = prefixes.select("stem", F.lit(200).alias("p"), F.col("cand").alias("_head")).join(heads, "_head").select("stem", "p", "origin")
     best = exact.unionByName(loose).groupBy("stem").agg(F.min(F.struct("p", (-F.length("origin")).alias("l"), "origin")).alias("b"))
     return packed.join(best.select("stem", F.col("b.origin").alias("origin")), "stem", "left")
 

@@ -26,7 +26,7 @@ def D():
 
 LP = "lower(replace(object_path, chr(92), '/'))"
 BASE = f"regexp_extract({LP}, '([^/]*)$', 1)"
-SUF = f"regexp_extract({BASE}, '([.][^./]+)$', 1)"
+SUF = f"regexp_extract({BASE}, '.([.][^./]+)$', 1)"
 ZIPS = "(starts_with(hx, '504B0304') OR starts_with(hx, '504B0506'))"
 
 

@@ -418,6 +418,28 @@ def v4(t):
     return decided(t).select("pair_id", "n_rule", "n_diff", "iou", "decision", "label_source", "needs_manual_review")
 
 
+@query(
+    "v4_final_labels",
+    """SELECT pair_id, object_path, s::BIGINT AS start, e::BIGINT AS "end", 'rules' AS label_source FROM rlabels WHERE pair_id IN (SELECT pair_id FROM decisions WHERE starts_with(decision, 'rule_only'))
+UNION ALL SELECT pair_id, object_path, offset_start, offset_end, 'diff' FROM dlabels WHERE pair_id IN (SELECT pair_id FROM decisions WHERE decision IN ('path_b_only_no_rule_match', 'solid', 'partial_mismatch'))""",
+    ("decisions",),
+)
+def v4_labels(t):
+    """The labels of each pair after reconciliation, from the source that its decision names."""
+    d = diff_label_rows(t).select("pair_id", "object_path", F.col("offset_start").alias("start"), F.col("offset_end").alias("end"))
+    r = rule_label_rows(t).select("pair_id", "object_path", "start", "end")
+    return V.reconciled_labels(decided(t), d, r, "pair_id").select("pair_id", "object_path", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "label_source")
+
+
+@query(
+    "a18_agreement_percent",
+    """SELECT decision, count(*) AS n, round_even(count(*) * 100.0e0 / (SELECT count(*) FROM decisions), 6) AS percent FROM decisions GROUP BY decision""",
+    ("decisions",),
+)
+def a18_percent(t):
+    return V.agreement_counts(decided(t).select("decision"), "decision")
+
+
 EXPECTED = "CASE user_id % 4 WHEN 0 THEN 'h3' WHEN 1 THEN ' ' WHEN 2 THEN 'zz' ELSE 'h1' END"
 
 
