@@ -37,6 +37,20 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+ROWS = 20_000  # rows of a small table that are worth a task
+
+
+def merged(df: DataFrame, rows: int) -> DataFrame:
+    """Fewer partitions for a table known to have ``rows`` rows, at least ROWS in each; never more than it has."""
+    return df.coalesce(max(1, -(-rows // ROWS)))
+
+
+def settle_small(df: DataFrame) -> DataFrame:
+    """Like ``settle``, for tables that may be much smaller than their number of partitions."""
+    df = settle(df)
+    return merged(df, df.count())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import merged, settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node around it."""
     both = edges.union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -34,10 +34,11 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     give no rows.  The edges stay distributed: only their number and a checksum reach the
     driver.  A node of very many edges is one side of a join, which adaptive execution splits.
     """
-    edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct()
-    edges, last = settle(edges), None
+    edges, last = settle(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct()), None
     now = _state(edges)
     while now[0] and now != last:
-        edges, last = settle(_small_star(_large_star(edges))), now
+        edges = merged(edges, now[0])
+        edges, last = settle(merged(_small_star(merged(_large_star(edges), now[0])), now[0])), now
         now = _state(edges)
+    edges = merged(edges, now[0])
     return edges.union(edges.select("v", "v").distinct()).toDF("node", "component")

@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, settle_small
 from .components import connected_components
 from .hashing import _ODD, mix, shingle_set, texts_to_words
 
 ROWS = 5  # minima in a band
 SEED = 20
-CHUNK = 1024  # members of a bucket that meet in one block
+CHUNK = 512  # nodes of a cluster that meet as many others in one task
 
 
 def band_count(percent: int, rows: int = ROWS, miss: float = 1e-5) -> int:
@@ -24,6 +24,12 @@ def band_count(percent: int, rows: int = ROWS, miss: float = 1e-5) -> int:
     return math.ceil(math.log(miss) / math.log(1 - min(percent / 100, 0.999999) ** rows))
 
 
+def _slices(batches, rows: int = 1024):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _shingles(batch: pa.RecordBatch, k: int):
     texts = (t.lower() for t in batch.column("text").cast(pa.binary()).to_pylist())  # bytes.lower changes A-Z alone
     for words in texts_to_words(texts):
@@ -34,36 +40,48 @@ def _node(shingles: np.ndarray) -> bytes | None:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
-def sketches(docs: DataFrame, k: int, bands: int, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, node, keys, minima``: a digest of the set, its band keys and its minima."""
-    rng = np.random.default_rng(SEED)
-    a = rng.integers(0, 1 << 63, (bands * rows, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, (bands * rows, 1), dtype=np.uint64)
-    band_no = np.arange(bands, dtype=np.uint64) * _ODD[6]
+class MinHash:
+    """Minima of a set's hashes under many universal hash functions, and the keys of their bands."""
+
+    def __init__(self, bands: int, rows: int = ROWS):
+        rng = np.random.default_rng(SEED)
+        self.bands, self.rows = bands, rows
+        self.a = rng.integers(0, 1 << 63, (bands * rows, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.b = rng.integers(0, 1 << 63, (bands * rows, 1), dtype=np.uint64)
+
+    def minima(self, shingles: np.ndarray) -> np.ndarray:
+        least = np.full(len(self.a), ~np.uint64(0))
+        for at in range(0, len(shingles), 2048):
+            part = self.a * shingles[at : at + 2048]
+            part += self.b
+            np.minimum(least, part.min(axis=1), out=least)
+        return least
+
+    def keys(self, minima: np.ndarray) -> np.ndarray:
+        band = np.arange(self.bands, dtype=np.uint64) * _ODD[6]
+        return mix((minima.reshape(self.bands, self.rows) * _ODD[: self.rows]).sum(axis=1, dtype=np.uint64) + band).view(np.int64)
+
+    @staticmethod
+    def signature(minima: np.ndarray) -> bytes:
+        return (minima >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def sketches(docs: DataFrame, k: int, bands: int) -> DataFrame:
+    """``doc_id, n_shingles, node, keys``: a digest of each document's set and its band keys."""
 
     def run(batches):
-        for batch in batches:
-            size, node, keys, minima = [], [], [], []
+        family = MinHash(bands)
+        for batch in _slices(batches):
+            size, node, keys = [], [], []
             for s in _shingles(batch, k):
                 size.append(len(s))
                 node.append(_node(s))
-                if not len(s):
-                    keys.append(None), minima.append(None)
-                    continue
-                least = np.full(bands * rows, ~np.uint64(0))
-                for at in range(0, len(s), 2048):
-                    part = a * s[at : at + 2048]
-                    part += b
-                    np.minimum(least, part.min(axis=1), out=least)
-                key = mix((least.reshape(bands, rows) * _ODD[:rows]).sum(axis=1, dtype=np.uint64) + band_no)
-                keys.append(key.view(np.int64))
-                minima.append((least >> np.uint64(32)).astype("<u4").tobytes())
+                keys.append(family.keys(family.minima(s)) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(minima, pa.binary())],
-                names=["doc_id", "n_shingles", "node", "keys", "minima"],
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "keys"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node binary, keys array<long>, minima binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node binary, keys array<long>")
 
 
 def _star_pairs(members: DataFrame) -> DataFrame:
@@ -74,56 +92,78 @@ def _star_pairs(members: DataFrame) -> DataFrame:
     return members.join(hubs, "key").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def _cross_pairs(members: DataFrame, parts: DataFrame, minima: DataFrame, least: float) -> DataFrame:
-    """Pairs of a bucket that are still in different components and whose minima agree often enough.
+def _unresolved(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """``node, part, cluster, rest, n, r`` of buckets that still hold several components.
 
-    Buckets whose members are one component are done.  The others are compared in blocks of
-    CHUNK x CHUNK members spread over the tasks; only pairs that pass leave a block.
+    Buckets that share members form a cluster of ``n`` nodes.  Its largest component is done
+    with itself; the ``r`` nodes outside of it (``rest``) have to meet all others.
     """
     known = members.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    ends = known.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key")
-    rows = known.join(ends, "key").join(minima, "node").withColumns(
-        {"chunks": F.ceil(F.col("n") / CHUNK).cast("int"), "own": F.expr(f"int(pmod(xxhash64(node), ceil(n / {CHUNK})))")}
-    )
-    dealt = rows.select("key", "node", "part", "minima", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.select("key", "node", "part", "minima", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    open_keys = known.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("node").alias("hub")).where("lo != hi").select("key", "hub")
+    rows = settle_small(known.join(open_keys, "key").select("node", "part", "hub").distinct())
+    clusters = connected_components(rows, "node", "hub").toDF("node", "cluster")
+    rows = settle_small(rows.select("node", "part").distinct().join(clusters, "node"))
+    sizes = rows.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("k"))
+    sizes = sizes.groupBy("cluster").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.sum("k").alias("n"), F.max("k").alias("most"))
+    rows = rows.join(sizes, "cluster")
+    return rows.select("node", "part", "cluster", (F.col("part") != F.col("main")).alias("rest"), "n", (F.col("n") - F.col("most")).alias("r"))
+
+
+def _cross_links(rows: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links between the components of each cluster, as few as connect what all of them connect.
+
+    The nodes outside of a cluster's largest component, in chunks, meet the chunks of all its
+    nodes; one pair of chunks is one group, so a cluster of any size spreads over the tasks.
+    A group compares signatures first and then full sets, skips what is connected already, and
+    returns at most one link for each node that it joins.
+    """
+    rows = rows.join(sets, "node")
+    chunk = F.expr(f"pmod(xxhash64(node), ceil(n / {CHUNK}))")
+    lone = F.expr(f"pmod(xxhash64(node, 1), ceil(r / {CHUNK}))")
+    columns = ["cluster", "node", "part", "minima", "shingles"]
+    left = rows.where("rest").select(*columns, F.lit(True).alias("asks"), lone.alias("i"), F.explode(F.expr(f"sequence(0L, ceil(n / {CHUNK}) - 1)")).alias("j"))
+    right = rows.select(*columns, F.lit(False).alias("asks"), F.explode(F.expr(f"sequence(0L, ceil(r / {CHUNK}) - 1)")).alias("i"), chunk.alias("j"))
 
     def block(table: pa.Table) -> pa.Table:
-        node = np.array(table.column("node").to_pylist(), dtype=object)
-        part = np.unique(np.array(table.column("part").to_pylist(), dtype=object), return_inverse=True)[1]
-        own = table.column("own").to_numpy()
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        sig = np.frombuffer(b"".join(table.column("minima").to_pylist()), dtype="<u4").reshape(len(node), -1)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        node = table.column("node").to_pylist()
+        root = np.unique(np.array(table.column("part").to_pylist(), dtype=object), return_inverse=True)[1].reshape(-1)
+        same = {}
+        for i, x in enumerate(node):  # a node may stand on both sides
+            root[i] = root[same.setdefault(x, i)]
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        sig = np.frombuffer(b"".join(table.column("minima").to_pylist()), "<u4").reshape(len(node), -1)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        size = np.array([len(x) for x in sets])
+        ends = np.cumsum(size)
+        numbers = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+        mark = np.zeros(numbers.max() + 1, np.int64)
         out_a, out_b = [], []
         for x in left:
-            y = right[part[right] != part[x]]
+            y = right[root[right] != root[x]]
             y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
-            out_a += [min(node[x], node[z]) for z in y]
-            out_b += [max(node[x], node[z]) for z in y]
+            if not len(y):
+                continue
+            own = numbers[ends[x] - size[x] : ends[x]]
+            mark[own] = 1
+            both = np.array([mark[numbers[ends[z] - size[z] : ends[z]]].sum() for z in y])
+            mark[own] = 0
+            for z in y[100 * both >= percent * (size[x] + size[y] - both)]:
+                if root[z] != root[x]:
+                    out_a.append(min(node[x], node[z]))
+                    out_b.append(max(node[x], node[z]))
+                    root[root == root[z]] = root[x]
         return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(block, "a binary, b binary").distinct()
-
-
-def _agreeing(least: float):
-    """Keeps the pairs of which the share of equal minima is large enough."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, -1) for c in ("ma", "mb"))
-                yield batch.filter(pa.array((x == y).mean(axis=1) >= least)).select(["a", "b"])
-
-    return run
+    return left.union(right).groupBy("cluster", "i", "j").applyInArrow(block, "a binary, b binary").distinct()
 
 
 #: Bound of the table that is sent to all tasks before the exact join: so many buckets of ids.
 ID_BUCKETS = 1 << 20
 
 
-def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """``node, shingles`` of the wanted nodes, computed anew from one document each.
+def _sets(docs: DataFrame, k: int, bands: int, wanted: DataFrame) -> DataFrame:
+    """``node, shingles, minima`` of the wanted nodes, computed anew from one document each.
 
     The texts are first thinned by a bucket of their id (at most ID_BUCKETS buckets, so the
     broadcast has a fixed bound), so that the exact join shuffles few texts that no pair needs.
@@ -133,28 +173,33 @@ def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     texts = docs.withColumn("bucket", bucket).join(near, "bucket", "left_semi").drop("bucket")
 
     def run(batches):
-        for batch in batches:
+        family = MinHash(bands)
+        for batch in _slices(batches):
             sets = list(_shingles(batch, k))
+            minima = [family.signature(family.minima(s)) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(map(_node, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "shingles"]
+                [batch.column("doc_id"), pa.array(map(_node, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(minima, pa.binary())],
+                names=["doc_id", "node", "shingles", "minima"],
             )
 
-    sets = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(run, "doc_id long, node binary, shingles binary")
-    return sets.join(wanted, ["doc_id", "node"], "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(run, "doc_id long, node binary, shingles binary, minima binary")
+    return sets.join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "shingles", "minima")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity."""
-    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    rows = rows.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
+def _confirm(pairs: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """The pairs whose signatures agree often enough and whose full sets reach the similarity."""
+    rows = pairs.join(sets.toDF("a", "sa", "ma"), "a").join(sets.toDF("b", "sb", "mb"), "b").select("a", "b", "sa", "sb", "ma", "mb")
 
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            for x, y, p, q in zip(*(batch.column(c) for c in ("sa", "sb", "ma", "mb")), strict=True):
+                good = (np.frombuffer(p.as_buffer(), "<u4") == np.frombuffer(q.as_buffer(), "<u4")).mean() >= least
+                if good:
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    good = 100 * both >= percent * (len(x) + len(y) - both)
+                keep.append(bool(good))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return rows.mapInArrow(run, "a binary, b binary")
@@ -170,9 +215,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Documents of one set (exact copies, repeated rows) form one node.  Nodes that share a
     band of MinHash minima are compared: each bucket's members with its most met member
-    first; then, where a bucket still holds several components, all pairs between these.
-    Pairs pass the share of equal minima (a margin of six standard errors below the limit)
-    and then the full sets.  Sets are compared as 64-bit hashes.
+    first; then, where buckets still hold several components, these with each other.  Pairs
+    pass the share of equal minima (a margin of six standard errors below the limit) and then
+    the full sets.  Sets are compared as 64-bit hashes.
 
     A null or empty text, or one of white space, has an empty set and no links.  A null
     doc_id has component null and is kept.  Rows that share a doc_id are one document for
@@ -183,30 +228,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     least = percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / (bands * ROWS))
     drawn = settle(sketches(docs, k, bands))
     full = drawn.where("node is not null and doc_id is not null")
-    classes = settle(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
-    first = full.join(classes.select("doc_id", "node"), ["doc_id", "node"], "left_semi")
-    spread = first.select("node", F.explode("keys").alias("key"))
+    classes = settle_small(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.any_value("keys").alias("keys")))
+    spread = classes.select("node", F.explode("keys").alias("key"))
+    classes = classes.drop("keys")
     crowded = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = settle(spread.join(crowded, "key").distinct())
-    minima = first.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("minima").alias("minima"))
-    minima = settle(minima)
-
-    pairs = _star_pairs(members).join(minima.toDF("a", "ma"), "a").join(minima.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
-    pairs = settle(pairs.mapInArrow(_agreeing(least), "a binary, b binary"))
+    members = settle_small(spread.join(crowded, "key"))
+    pairs = settle_small(_star_pairs(members))
 
-    def named(pairs):
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        return classes.join(ends, "node", "left_semi").select("doc_id", "node")
+    def sets(nodes):
+        return _sets(docs, k, bands, classes.join(nodes.distinct(), "node", "left_semi").select("doc_id", "node"))
 
-    links = settle(_confirm(pairs, _sets(docs, k, named(pairs)), percent))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    links = settle_small(_confirm(pairs, sets(ends), least, percent))
     parts = connected_components(links, "a", "b").toDF("node", "part")
-    rest = settle(_cross_pairs(members, parts, minima, least).join(pairs, ["a", "b"], "left_anti"))
+    rest = settle_small(_unresolved(members, parts))
     if not rest.isEmpty():
-        more = settle(_confirm(rest, _sets(docs, k, named(rest)), percent))
+        more = settle_small(_cross_links(rest, sets(rest.select("node")), least, percent))
         parts = connected_components(links.union(more), "a", "b").toDF("node", "part")
 
     known = classes.join(parts, "node", "left").where("part is not null or copies > 1").withColumn("part", F.coalesce("part", "node"))
-    known = settle(known)
+    known = settle_small(known)
     roots = known.groupBy("part").agg(F.min("doc_id").alias("root"))
     roots = known.join(roots, "part").select("node", "root")
     shown = drawn.select("doc_id", "n_shingles", "node")
