@@ -94,6 +94,8 @@ def _forest(mask: np.ndarray):
         rows_left[new] = False
         while len(new):
             cols = np.flatnonzero(mask[new].any(axis=0) & cols_left)
+            if not len(cols):
+                break
             cols_left[cols] = False
             out += zip(new[mask[np.ix_(new, cols)].argmax(axis=0)].tolist(), cols.tolist(), strict=True)
             rows = np.flatnonzero(mask[:, cols].any(axis=1) & rows_left)
