@@ -19,7 +19,7 @@ PIECE = 12  # characters of a piece at most
 UNKNOWN = 1e-7  # probability of a character outside the vocabulary
 SAMPLE = 600  # labelled documents of a language that the pieces are learnt from
 ROUNDS = 3  # expectation-maximisation steps
-CACHE = 400_000  # words whose scores a worker remembers
+CACHE = 150_000  # words whose scores a worker remembers
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 

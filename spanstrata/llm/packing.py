@@ -15,7 +15,8 @@ from .common import settle
 
 LENGTH = 2048
 GROUP = 4096  # pieces that are packed together
-CACHE = 400_000  # chunks of text whose ids a worker remembers
+CACHE = 80_000  # chunks of text of each of two generations whose ids a worker remembers
+ROWS = 256  # texts that a worker holds at once
 
 
 #: Byte-level alphabet: bytes without a printable Latin-1 character stand as characters from 256 on, in order.
@@ -42,6 +43,7 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def encode(self, text: bytes) -> bytes:
         if b"\xcc" not in text and b"\xcd" not in text:  # first bytes of U+0300 to U+037F
@@ -54,14 +56,19 @@ class ChunkEncoder:
             return b"".join(map(self.known.__getitem__, chunks))
 
     def _learn(self, chunks):
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, new = self.known, {c for c in chunks if c not in self.known}
+        if len(self.known) > CACHE:  # what was used in the last generation stays for one more
+            self.old, self.known = self.known, {}
+        known, old, new = self.known, self.old, {c for c in chunks if c not in self.known}
+        known.update((c, old[c]) for c in new if c in old)
+        new = {c for c in new if c not in known}
         ended = {c for c in new if c[-1:] in (b".", b",") and c[-2:-1].isalpha()}
         odd, tokenize = [], self.model.tokenize
         for c in (new - ended) | {c[:-1] for c in ended} | {c[-1:] for c in ended}:
             if c in known:
                 continue
+            if c in old:
+                known[c] = old[c]
+                continue
             if c.isalpha() and c.islower():  # one pre-token as it stands
                 known[c] = array("I", [t.id for t in tokenize(c.decode())]).tobytes()
                 continue
@@ -87,7 +94,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length:
 
     def run(batches):
         encoder = ChunkEncoder(tokenizer_path)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 data = encoder.encode(text or b"") + end
