@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .boosting import fit_trees, score
 from .common import lower_ascii, settle
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SAMPLE = 20_000  # labelled URLs that the trees are fitted on
-FEATURES = ["length", "host_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters", "fragment", "suffix_pages", "suffix_block", "site_block"]
+FEATURES = ["length", "host_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "host_entropy", "parameters", "fragment", "suffix_pages", "suffix_block", "site_block"]
 
 
 def host_of(url: Column) -> Column:
@@ -32,26 +40,40 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return fit
 
 
-def _entropy(text: Column) -> Column:
-    """Shannon entropy of the characters, in bits."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / F.size(chars))
-    return F.aggregate(counts, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+def entropies(texts: list[str]) -> np.ndarray:
+    """Shannon entropy of the characters of each text, in bits; 0 for an empty one."""
+    out = np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        if text:
+            counts = np.bincount(np.unique(np.frombuffer(text.encode("utf-32-le"), "<u4"), return_inverse=True)[1])
+            share = counts / len(text)
+            out[i] = -(share * np.log2(share)).sum()
+    return out
+
+
+def with_entropy(urls: DataFrame) -> DataFrame:
+    """Adds ``entropy`` of the whole url and ``host_entropy`` of the whole host, from counts of all their characters."""
+
+    def run(batches):
+        for batch in batches:
+            parts = [pa.array(entropies([t or "" for t in batch.column(c).to_pylist()]), pa.float64()) for c in ("url", "host")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *parts], names=[*batch.schema.names, "entropy", "host_entropy"])
+
+    schema = T.StructType([*urls.schema.fields, T.StructField("entropy", T.DoubleType()), T.StructField("host_entropy", T.DoubleType())])
+    return urls.mapInArrow(run, schema)
 
 
 def lexical(urls: DataFrame) -> DataFrame:
     """Adds the features that need no other URL, and ``suffix`` (last two labels) and ``site`` (last three)."""
     url, digits = F.coalesce("url", F.lit("")), lambda c: F.length(F.regexp_replace(c, "[^0-9]", ""))
     rest = F.regexp_extract(url, "(?s)://(.*)", 1)
-    return urls.withColumns({
+    return with_entropy(urls).withColumns({
         "length": F.length(url).cast("double"),
         "host_length": F.length("host").cast("double"),
         "depth": F.size(F.filter(F.split("path", "/"), lambda x: x != "")).cast("double"),
         "labels": F.size(F.filter(F.split("host", "[.]"), lambda x: x != "")).cast("double"),
         "digit_ratio": digits(url) / F.greatest(F.length(url), F.lit(1)),
         "hyphens": F.length(F.regexp_replace("host", "[^-]", "")).cast("double"),
-        # of the first label with few characters the entropy is enough; the whole text may be long
-        "entropy": _entropy(F.substring_index("host", ".", 3)),
         "parameters": F.when(F.instr(url, "?") > 0, F.size(F.split(F.substring_index(F.regexp_extract(rest, "(?s)[?](.*)", 1), "#", 1), "&"))).otherwise(0).cast("double"),
         "fragment": (F.instr(url, "#") > 0).cast("double"),
         "suffix": F.substring_index("host", ".", -2),
@@ -69,7 +91,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_column: str = "page
 
     A rule decides where one fits.  For the others boosted trees are fitted on URLs that rules
     decide (at most SAMPLE of them, those of the smallest digests of their urls): length,
-    depth, digit ratio, entropy, parameters, and how often the suffix and the site occur and
+    depth, digit ratio, entropy of the whole url and host, parameters, and how often the suffix and the site occur and
     are blocked over all pages.  ``score`` is the trees' probability of a block, at least 0.5
     is ``block``.  If rules decide no url, or all alike, the rest is allowed with score 0.
 

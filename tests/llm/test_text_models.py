@@ -2,13 +2,16 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from brute import TABLES, components, crc_mod, pii, read, u32
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spanstrata.llm import bpe, langid, packing, urlfilter
@@ -142,6 +145,20 @@ def test_urls(spark):
     assert urlfilter.judge(frame.limit(0), RULES).count() == 0
 
 
+def test_url_entropy(spark):
+    """The entropy is that of all characters of the url and of the host, wherever a random token stands."""
+    token = "q7zK2xW9vB4nM1pL"
+    urls = [None, "", "http://a.b.c.com/aaaaaaaa", f"http://a.b.c.com/{token}", f"http://a.b.c.com/?x={token}", f"http://a.b.c.{token}.com/", "http://é.b.c.中😀/" + "ab" * 50_000]
+    frame = spark.createDataFrame([(u,) for u in urls], "url string")
+    frame = frame.select("url", urlfilter.host_of(F.col("url")).alias("host"), urlfilter.path_of(F.col("url")).alias("path"))
+
+    def entropy(text):
+        return sum(-n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+
+    for r in urlfilter.lexical(frame).collect():
+        assert abs(r.entropy - entropy(r.url or "")) < 1e-9 and abs(r.host_entropy - entropy(r.host)) < 1e-9, r.url
+
+
 def test_trees():
     rng = np.random.default_rng(9)
     x = rng.random((2000, 3))
