@@ -11,13 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .boosting import fit_trees, score
+from .boosting import Trees, fit_trees, score
 from .common import lower_ascii, settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE = 20_000  # labelled URLs that the trees are fitted on
-FEATURES = ["length", "host_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "host_entropy", "parameters", "fragment", "suffix_pages", "suffix_block", "site_block"]
+FOLDS = 5  # of whole suffixes, on which it is decided whether page counts serve
+LEXICAL = ["length", "host_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "host_entropy", "parameters", "fragment"]
+COUNTS = ["suffix_pages", "site_pages"]
+FEATURES = LEXICAL + COUNTS
 
 
 def host_of(url: Column) -> Column:
@@ -81,18 +84,35 @@ def lexical(urls: DataFrame) -> DataFrame:
     })
 
 
-def _shares(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """Of each key: URLs, and the block share among those that a rule decides, drawn to one half."""
-    return rows.groupBy(key).agg(F.sum("n").alias(f"{name}_n"), ((F.sum("blocked") + 1) / (F.sum("decided") + 2)).alias(f"{name}_share"))
+def fit(drawn: list[tuple[str, float, list[float]]]) -> tuple[Trees, list[str]]:
+    """Trees and their features, from ``(suffix, label, values of FEATURES)``.
+
+    Rules decide most suffixes one way, so what tells suffixes apart also tells the labels that
+    rules give.  Hence no verdict of its own suffix is a feature of a row, and page counts are
+    features only if they lower the log loss on suffixes that the trees have not seen.
+    """
+    suffixes = {s: i % FOLDS for i, s in enumerate(dict.fromkeys(s for s, _, _ in drawn))}
+    fold, y = np.array([suffixes[s] for s, _, _ in drawn]), np.array([v for _, v, _ in drawn])
+    x = np.array([f for _, _, f in drawn], dtype=float).reshape(len(drawn), len(FEATURES))
+
+    def loss(width):
+        total = 0.0
+        for k in range(min(FOLDS, len(suffixes))):
+            p = np.clip(fit_trees(x[fold != k, :width], y[fold != k]).predict(x[fold == k, :width]), 1e-6, 1 - 1e-6)
+            total -= (y[fold == k] * np.log(p) + (1 - y[fold == k]) * np.log(1 - p)).sum()
+        return total
+
+    width = len(FEATURES) if len(suffixes) > 1 and loss(len(FEATURES)) < loss(len(LEXICAL)) else len(LEXICAL)
+    return fit_trees(x[:, :width], y), FEATURES[:width]
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_column: str = "page_id") -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` for every url.
 
     A rule decides where one fits.  For the others boosted trees are fitted on URLs that rules
-    decide (at most SAMPLE of them, those of the smallest digests of their urls): length,
-    depth, digit ratio, entropy of the whole url and host, parameters, and how often the suffix and the site occur and
-    are blocked over all pages.  ``score`` is the trees' probability of a block, at least 0.5
+    decide (at most SAMPLE distinct ones, those of the smallest digests): length, depth, digit
+    ratio, entropy of the whole url and host, parameters, and, where that serves on suffixes left
+    out (see ``fit``), how often the suffix and the site occur over all pages.  ``score`` is the trees' probability of a block, at least 0.5
     is ``block``.  If rules decide no url, or all alike, the rest is allowed with score 0.
 
     A null url, or one without ``://``, has an empty host and path.  Repeated rows get the same
@@ -102,14 +122,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_column: str = "page
     base = pages.select(id_column, "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = lexical(base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("given", verdicts[F.col("rule")]))
     rows = rows.withColumn("label", (F.col("given") == "block").cast("double"))
-    hosts = rows.groupBy("suffix", "site").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("decided"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked"))
-    stats = settle(hosts)
-    rows = rows.join(_shares(stats, "suffix", "suffix"), "suffix").join(_shares(stats, "site", "site").drop("site_n"), "site")
-    rows = settle(rows.withColumns({"suffix_pages": F.log2(F.col("suffix_n") + 1.0), "suffix_block": F.col("suffix_share"), "site_block": F.col("site_share")})
-                  .select(id_column, "host", "path", "rule", "given", "label", "url", *FEATURES))
-    drawn = rows.where("label is not null").orderBy(F.xxhash64("url"), "url").limit(SAMPLE).select("label", *FEATURES).collect()
-    trees = fit_trees([[float(r[c]) for c in FEATURES] for r in drawn], [r["label"] for r in drawn])
-    probability = score(trees, {c: F.col(c) for c in FEATURES}, FEATURES)
+    stats = settle(rows.groupBy("suffix", "site").agg(F.count(F.lit(1)).alias("n")))
+    for key in ("suffix", "site"):
+        rows = rows.join(stats.groupBy(key).agg(F.log2(F.sum("n") + 1.0).alias(f"{key}_pages")), key)
+    rows = settle(rows.select(id_column, "host", "path", "rule", "given", "label", "url", "suffix", *FEATURES))
+    drawn = rows.where("label is not null").select("url", "suffix", "label", *FEATURES).distinct().orderBy(F.xxhash64("url"), "url").limit(SAMPLE).drop("url").collect()
+    trees, names = fit([(r["suffix"], r["label"], [float(r[c]) for c in FEATURES]) for r in drawn])
+    probability = score(trees, {c: F.col(c) for c in names}, names)
     return rows.select(
         id_column, "host", "path", "rule",
         F.coalesce("given", F.when(probability >= 0.5, "block").otherwise("allow")).alias("verdict"),

@@ -159,6 +159,29 @@ def test_url_entropy(spark):
         assert abs(r.entropy - entropy(r.url or "")) < 1e-9 and abs(r.host_entropy - entropy(r.host)) < 1e-9, r.url
 
 
+def test_urls_of_one_way_suffixes(spark):
+    """Where each rule decides whole suffixes, pages of its suffix and of an unseen one are judged by lexical features."""
+    rng = random.Random(11)
+    # digits in the path speak for a block, with exceptions among the pages that rules decide; the suffix tells those pages' verdicts alone
+    rules, urls = [], []
+
+    def page(suffix, bad, start):
+        tail = "".join(rng.choices("0123456789" if bad else "aeioulnrst", k=12))
+        return f"http://{rng.choice(['www', 'm', 'blog'])}.{suffix}/{start}/{tail}"
+
+    for i in range(40):
+        suffix, bad = f"site{i:02}.com", i % 2 == 0
+        rules.append(("block" if bad else "allow", f"{suffix}/r/"))
+        urls += [(page(suffix, bad if n % 10 else not bad, "r"), bad) for n in range(20 + i)]
+        urls += [(page(suffix, b, "x"), b) for b in (True, False) for _ in range(5)]
+    urls += [(page("site98.org", b, "x"), b) for b in (True, False) for _ in range(50)]
+    frame = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)] + [(i, urls[0][0]) for i in range(10_000, 12_000)], "page_id long, url string")
+    got = [(r.page_id, r.rule, r.verdict == "block") for r in urlfilter.judge(frame, rules).where("page_id < 10000").collect()]
+    assert len(got) == len(urls)
+    for own in ([x for x in got if x[1] is None and ".org" not in urls[x[0]][0]], [x for x in got if ".org" in urls[x[0]][0]]):
+        assert sum(v == urls[i][1] for i, _, v in own) / len(own) > 0.97
+
+
 def test_trees():
     rng = np.random.default_rng(9)
     x = rng.random((2000, 3))
