@@ -34,11 +34,18 @@ class ChunkEncoder:
     which could compose differently with a small letter.  A new chunk of small letters alone
     (up to U+024F, composed) is one pre-token and goes straight to the merges; any other one
     goes through the whole tokenizer.
+
+    ``added_tokens``: a text that holds the exact string of one of the vocabulary's added tokens
+    goes whole and unchanged through the tokenizer as its file states it, which gives that token's
+    id.  Otherwise such strings are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()] if added_tokens else []
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
@@ -46,6 +53,8 @@ class ChunkEncoder:
         self.old: dict[bytes, bytes] = {}
 
     def encode(self, text: bytes) -> bytes:
+        if any(a in text for a in self.added):
+            return array("I", self.whole.encode(text.decode(), add_special_tokens=False).ids).tobytes()
         if b"\xcc" not in text and b"\xcd" not in text:  # first bytes of U+0300 to U+037F
             text = text.lower()
         chunks = text.split()
@@ -83,17 +92,17 @@ class ChunkEncoder:
             known[c] = known[c[:-1]] + known[c[-1:]]
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = LENGTH, ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = LENGTH, ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens``: each document's ids, cut every ``length`` ids.
 
     ``ids=True`` adds the ids themselves (``ids`` binary).  The ids of a document end with
-    ``end_id``; a null or empty text has that id alone.
+    ``end_id``; a null or empty text has that id alone.  ``added_tokens``: see ``ChunkEncoder``.
     """
     end = array("I", [end_id]).tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * ids
 
     def run(batches):
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = ChunkEncoder(tokenizer_path, added_tokens)
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -162,10 +171,10 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFra
     return dealt.groupBy("_group").applyInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = LENGTH, ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = LENGTH, ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """Tokenises and packs all documents; every id lies in exactly one piece.
 
     A null doc_id is kept as null, rows that repeat are documents of their own, ties in size go
     by crc32, doc_id and start; other columns of ``docs`` are ignored; no documents give no rows.
     """
-    return pack(token_pieces(docs, tokenizer_path, end_id, length, ids), length)
+    return pack(token_pieces(docs, tokenizer_path, end_id, length, ids, added_tokens), length)

@@ -101,7 +101,7 @@ def op10(spark, sf_dir):
 @query("op4_first_fit_decreasing_packing")
 def op4(spark, sf_dir):
     """Pieces of all documents, packed into sequences of 2048 ids."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", added_tokens=True)
 
 
 @query("op5_chunked_byte_bpe")

@@ -76,6 +76,21 @@ def test_packing(spark):
     assert packing.pack_documents(frame.limit(0), WORDS).count() == 0
 
 
+def test_added_tokens(spark, tmp_path):
+    """op4 and the pipeline's last stage give the ids of the vocabulary's tokenizer as it stands."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    texts = ["<|endoftext|> x", "A<|startoftext|>B Ǐ<|endoftext|>", "<|ENDOFTEXT|> y", "<|endoftext |>", "plain Text."] + [t or "" for t in odd_texts()]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (QUERIES["op4_first_fit_decreasing_packing"](spark, str(tmp_path)), corpus_pipeline.pack(spark, frame, "")):
+        first = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in got.where("start = 0").collect()}
+        for i, t in enumerate(texts):
+            ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+            assert first[i] == (len(ids), zlib.crc32(u32(ids[:2048]))), t[:50]
+
+
 def test_first_fit():
     rng = np.random.default_rng(7)
     for n in (1, 2, 5, 200):
