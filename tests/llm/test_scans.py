@@ -87,6 +87,23 @@ def test_learnt_spans(spark):
     assert all(not got[2000 + i] for i in range(200))
 
 
+def test_unprefixed_phones_and_spelt_emails(spark):
+    """What the generous generators find is added, also where such spans are many; plain numbers, dates and prose are not."""
+    rows = [(i, f"call my phone +1 (275) 555-{1000 + i} now") for i in range(400)]
+    rows += [(1000 + i, f"call my phone (275) 555-{1000 + i} now") for i in range(300)]
+    rows += [(2000 + i, f"order 12345678{i} shipped") for i in range(200)]
+    rows += [(3000 + i, f"he wrote to us so please send mail to bob{i}@mail.org today") for i in range(400)]
+    rows += [(4000 + i, f"please send mail to bob{i} [at] mail [dot] org today") for i in range(300)]
+    rows += [(5000 + i, f"we meet (at) noon. Then all go home {i}") for i in range(20)]
+    rows += [(6000 + i, f"on 2024-01-{10 + i} 12 they left") for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end], s.base) for s in r.spans] for r in personal.find(frame).collect()}
+    assert all(got[1000 + i] == [("phone", f"(275) 555-{1000 + i}", False)] for i in range(300))
+    assert all(got[4000 + i] == [("email", f"bob{i} [at] mail [dot] org", False)] for i in range(300))
+    assert not any(got[i] for i in got if 2000 <= i < 3000 or i >= 5000)
+
+
 HARD = r"\### Assistant: </turn> ok"
 
 
