@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from ..functions import bytes as B
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Passages of at most so many bytes in all are sent to every task; more are joined by their blocks.
+#: Passages of at most so many bytes in all are sent to every task; more are joined by their blocks or grams.
 SENT_BYTES = 32 << 20
 ANCHOR = 8
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -64,21 +66,33 @@ def locate_passages(objects: DataFrame, passages: DataFrame, block: int = 16) ->
 
     Passages of at most SENT_BYTES bytes in all (that is checked) go to every task, which
     looks for all of them while it reads an object: no byte of an object is shuffled.  Beyond
-    that size objects and passages are joined by aligned blocks.
+    that size those of ``2 * block - 1`` bytes or more are joined by aligned blocks.  The shorter
+    ones are sent if they alone keep to the bound, else they are joined too: by smaller blocks,
+    those of a few bytes by all grams of their length.  Passages without item_id are left out.
     """
-    known = passages.where("length(needle) > 0").select("item_id", "needle")
-    size, shortest = known.agg(F.coalesce(F.sum(F.length("needle") + 16), F.lit(0)), F.min(F.length("needle"))).first()
-    if size > SENT_BYTES and shortest >= 2 * block - 1:
-        hits = _by_blocks(objects, known, block)
-    else:
-        rows = known.collect()  # SENT_BYTES at most, or passages too short for blocks
-        hits = _by_scan(objects, Needles([(i, bytes(r["needle"])) for i, r in enumerate(rows)]), [(r["item_id"], len(r["needle"])) for r in rows])
-        digests = known.select("item_id", F.sha2("needle", 256).alias("payload_sha256"))
-        return hits.join(digests.distinct(), "item_id").select("container", "object_id", "object_path", "item_id", "offset_start", "offset_end", "payload_sha256")
-    return hits
-
-
-def _by_scan(objects: DataFrame, needles: Needles, items: list[tuple[int, int]]) -> DataFrame:
+    known = passages.where("length(needle) > 0 and item_id is not null").select("item_id", "needle")
+    size, n, widths = F.length("needle"), F.lit(0), [block >> i for i in range(block.bit_length()) if block >> i >= 4]
+    for width in sorted(widths):
+        n = F.when(size >= 2 * width - 1, width).otherwise(n)
+    known = known.withColumns({"_width": n, "_gram": F.when(n == 0, size)})
+    sizes = {(r["_width"], r["_gram"]): r["b"] for r in known.groupBy("_width", "_gram").agg(F.sum(size + 16).alias("b")).collect()}
+
+    def sent(some):
+        rows = [(r["item_id"], bytes(r["needle"])) for r in some.collect()]  # SENT_BYTES at most
+        return _by_scan(objects, Needles([(i, needle) for i, (_, needle) in enumerate(rows)]), [(i, len(needle), hashlib.sha256(needle).hexdigest()) for i, needle in rows])
+
+    if sum(sizes.values()) <= SENT_BYTES:
+        return sent(known)
+    short = sum(b for (width, _), b in sizes.items() if width < block)
+    parts = [sent(known.where(F.col("_width") < block))] if 0 < short <= SENT_BYTES else []
+    for width, gram in sorted(sizes, key=str):
+        own = known.where((F.col("_width") == width) & F.col("_gram").eqNullSafe(F.lit(gram))).select("item_id", "needle")
+        if width == block or short > SENT_BYTES:
+            parts.append(_by_blocks(objects, own, width) if width else _by_grams(objects, own, gram))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _by_scan(objects: DataFrame, needles: Needles, items: list[tuple[int, int, str]]) -> DataFrame:
     keys = ["container", "object_id", "object_path"]
 
     def run(batches):
@@ -89,11 +103,11 @@ def _by_scan(objects: DataFrame, needles: Needles, items: list[tuple[int, int]])
                     rows.append(i), item.append(k), start.append(at)
             part = batch.select(keys).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array([items[k][0] for k in item], pa.int64()), pa.array(start, pa.int64()), pa.array([s + items[k][1] for s, k in zip(start, item)], pa.int64())],
-                names=[*keys, "item_id", "offset_start", "offset_end"],
+                [*part.columns, pa.array([items[k][0] for k in item], pa.int64()), pa.array(start, pa.int64()), pa.array([s + items[k][1] for s, k in zip(start, item)], pa.int64()), pa.array([items[k][2] for k in item], pa.string())],
+                names=[*keys, "item_id", "offset_start", "offset_end", "payload_sha256"],
             )
 
-    return objects.select(*keys, "content").mapInArrow(run, "container string, object_id string, object_path string, item_id long, offset_start long, offset_end long")
+    return objects.select(*keys, "content").mapInArrow(run, "container string, object_id string, object_path string, item_id long, offset_start long, offset_end long, payload_sha256 string")
 
 
 def _by_blocks(objects: DataFrame, passages: DataFrame, block: int) -> DataFrame:
@@ -114,3 +128,11 @@ def _by_blocks(objects: DataFrame, passages: DataFrame, block: int) -> DataFrame
     )
     start = F.col("_x").cast("long")
     return checked.select(*keys, "item_id", start.alias("offset_start"), (start + F.length("needle")).alias("offset_end"), F.sha2("needle", 256).alias("payload_sha256"))
+
+
+def _by_grams(objects: DataFrame, passages: DataFrame, size: int) -> DataFrame:
+    """Passages of ``size`` bytes, a few, joined by value with the bytes at every offset."""
+    keys = ["container", "object_id", "object_path"]
+    at = objects.where(F.length("content") >= size).select(*keys, "content", F.explode(F.sequence(F.lit(0), F.length("content") - size)).alias("_x"))
+    found = at.select(*keys, F.col("_x").cast("long").alias("offset_start"), F.substring("content", F.col("_x") + 1, F.lit(size)).alias("needle")).join(passages, "needle")
+    return found.select(*keys, "item_id", "offset_start", (F.col("offset_start") + size).alias("offset_end"), F.sha2("needle", 256).alias("payload_sha256"))

@@ -52,3 +52,29 @@ def test_labels(spark):
     containers = {r.container: r for r in L.label_containers(objects, pay).collect()}
     assert containers["d"].label_id == 1 and containers["d"].window_count == 0
     assert containers["c"].payload_count == 2
+
+
+def test_passages_beyond_the_bound(spark, monkeypatch):
+    """However the passages are dealt to sending, blocks and grams, all places are found, and no more than the bound is collected."""
+    import hashlib
+    import random
+
+    from spanstrata.operators import passages as P
+
+    rng = random.Random(3)
+    bodies = [bytes(rng.choices(b"ab\x00\xff", k=n)) for n in (0, 2, 40, 700, 900)]
+    needles = [(n, bytes(bodies[4][n * 3 : n * 3 + n])) for n in (1, 2, 3, 6, 7, 14, 15, 30, 31, 60)] + [(7, bodies[3][5:12]), (60, bodies[3][100:103]), (9, b""), (8, None)]
+    objects = spark.createDataFrame([("c", str(i), f"p{i}", b) for i, b in enumerate(bodies)], "container string, object_id string, object_path string, content binary")
+    frame = spark.createDataFrame(needles, "item_id long, needle binary")
+    want = sorted(
+        (str(o), i, x, x + len(n), hashlib.sha256(n).hexdigest()) for o, b in enumerate(bodies) for i, n in needles if n for x in range(len(b) - len(n) + 1) if b.startswith(n, x)
+    )
+    total, short = sum(len(n) + 16 for _, n in needles if n), sum(len(n) + 16 for _, n in needles if n and len(n) < 31)
+    taken = []
+    real = P.Needles
+    monkeypatch.setattr(P, "Needles", lambda own: taken.append(sum(len(n) + 16 for _, n in own)) or real(own))
+    for bound in (total, short, 0):
+        monkeypatch.setattr(P, "SENT_BYTES", bound)
+        got = sorted((r.object_id, r.item_id, r.offset_start, r.offset_end, r.payload_sha256) for r in P.locate_passages(objects, frame).collect())
+        assert got == want and all(t <= bound for t in taken)
+        taken.clear()
