@@ -124,8 +124,8 @@ def with_profile(members: DataFrame) -> DataFrame:
     return h.withColumn("entropy", B.entropy(F.col("hist"), F.col("size")))
 
 
-def fuzzy_matches(new: DataFrame, old: DataFrame, limit: float = 2.0) -> DataFrame:
-    """Mutually best partners of unmatched members: |log2 size ratio| + 2 * histogram distance < limit.
+def _near_pairs(new: DataFrame, old: DataFrame, limit: float) -> DataFrame:
+    """All pairs with |log2 size ratio| + 2 * histogram distance < limit: pair_id, new_name, old_name, score.
 
     Both terms bound the search exactly: sizes within ``limit`` doublings and
     shares of any byte class within ``limit / 4``.  Members meet only in cells of
@@ -149,7 +149,10 @@ def fuzzy_matches(new: DataFrame, old: DataFrame, limit: float = 2.0) -> DataFra
     gap = F.abs(F.col("new_log") - F.col("old_log"))
     close = n.join(o, ["pair_id", "c1", "c2"]).where(gap + 4.0 * F.abs(F.col("new_vis") - F.col("old_vis")) < limit)
     l1 = B.histogram_l1(F.col("new_hist"), F.col("old_hist"), F.col("new_size"), F.col("old_size"))
-    scored = close.select("pair_id", "new_name", "old_name", r6(gap + 2.0 * l1).alias("score")).where(F.col("score") < limit)
+    return close.select("pair_id", "new_name", "old_name", r6(gap + 2.0 * l1).alias("score")).where(F.col("score") < limit)
+
+
+def _mutual_best(scored: DataFrame) -> DataFrame:
     best_n = scored.groupBy("pair_id", "new_name").agg(F.min(F.struct("score", "old_name")).alias("m"))
     best_o = scored.groupBy("pair_id", "old_name").agg(F.min(F.struct("score", "new_name")).alias("m"))
     left = best_n.select("pair_id", "new_name", F.col("m.old_name").alias("old_name"), F.col("m.score").alias("score"))
@@ -157,13 +160,56 @@ def fuzzy_matches(new: DataFrame, old: DataFrame, limit: float = 2.0) -> DataFra
     return left.join(right, ["pair_id", "new_name", "old_name"])
 
 
-def diff_magnitude(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Diff score of each new member against its namesake: new 1.0, unchanged 0.0, modified 0.1-0.9.
+def fuzzy_matches(new: DataFrame, old: DataFrame, limit: float = 2.0) -> DataFrame:
+    """Mutually best partners of unmatched members, in one round; see ``greedy_matches`` for all."""
+    return _mutual_best(_near_pairs(new, old, limit))
+
+
+def greedy_matches(new: DataFrame, old: DataFrame, limit: float = 2.0) -> DataFrame:
+    """Exact greedy 1:1 partners of unmatched members: the least (score, new_name, old_name) first.
+
+    A pair that is best for both its members is taken by the greedy order, whatever comes
+    before it, so rounds of mutual-best joins on the members still free give the same pairs.
+    Each round is checkpointed; there are as many as the longest chain of members that wait
+    for one another.
+    """
+    scored = materialize(_near_pairs(new, old, limit))
+    found = materialize(_mutual_best(scored))
+    out = found
+    while not found.isEmpty():
+        scored = materialize(scored.join(found.select("pair_id", "new_name"), ["pair_id", "new_name"], "left_anti")
+                             .join(found.select("pair_id", "old_name"), ["pair_id", "old_name"], "left_anti"))
+        found = materialize(_mutual_best(scored))
+        out = out.unionByName(found)
+    return out
+
+
+def member_mapping(new: DataFrame, old: DataFrame, limit: float = 2.0) -> DataFrame:
+    """pair_id, new_name, old_name: partners by name, then by content, then by ``greedy_matches`` of the rest.
+
+    new / old: pair_id, name, size, sha256, hist.
+    """
+    members = materialize(snapshot_members(old, new))
+
+    def free(side, own, other):
+        rest = members.where(F.col(other).isNull()).select("pair_id", F.col(own).alias("name"))
+        return side.join(rest, ["pair_id", "name"], "left_semi")
+
+    linked = members.where("new_name is not null and old_name is not null").select("pair_id", "new_name", "old_name")
+    more = greedy_matches(free(new, "new_name", "old_name"), free(old, "old_name", "new_name"), limit)
+    return linked.unionByName(more.select("pair_id", "new_name", "old_name"))
+
+
+def diff_magnitude(new: DataFrame, old: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
+    """Diff score of each new member against its namesake, or its partner in ``mapping`` (see ``member_mapping``): new 1.0, unchanged 0.0, modified 0.1-0.9.
 
     new / old: pair_id, name, size, sha256, entropy, hist.  A pair without any old
     member is unknown (0.5).
     """
     o = old.select("pair_id", "name", *[F.col(c).alias(f"o_{c}") for c in ("size", "sha256", "entropy", "hist")])
+    if mapping is not None:
+        partners = mapping.select("pair_id", F.col("old_name").alias("name"), F.col("new_name").alias("_new"))
+        o = o.join(partners, ["pair_id", "name"]).drop("name").withColumnRenamed("_new", "name")
     sides = old.select("pair_id").distinct().withColumn("_known", F.lit(True))
     j = new.join(o, ["pair_id", "name"], "left").join(sides, "pair_id", "left")
     rel = F.col("size") / F.greatest("o_size", F.lit(1))

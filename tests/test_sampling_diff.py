@@ -69,3 +69,46 @@ def test_reconciliation_matrix(spark):
         ("rule_only_alignment_failed", "rules", True), ("rule_only_degenerate", "rules", True), ("no_signal", "none", True),
         ("path_b_only_no_rule_match", "diff", True), ("solid", "diff", False), ("partial_mismatch", "diff", True), ("low_confidence", "none", True),
     ]
+
+
+def test_greedy_matches_and_mapping(spark):
+    """Members whose best partner is taken get the next one, as in a plain greedy loop; J5 scores renamed members against their partners."""
+    import math
+    import random
+
+    from spanstrata.operators import diff
+
+    rng = random.Random(4)
+
+    def members(tag):
+        return [(p, f"{tag}{i}", bytes(rng.choices(b"abc\x00", weights=[1 + rng.randrange(3) for _ in range(4)], k=rng.randrange(100, 300)))) for p in ("p", "q") for i in range(12)]
+
+    sides = {"n": members("n"), "o": members("o")}
+    sides["n"].append(("p", "moved", sides["o"][0][2]))
+
+    def frame(rows):
+        df = spark.createDataFrame([(*r, len(r[2])) for r in rows], "pair_id string, name string, content binary, size long")
+        return diff.with_profile(df.withColumn("sha256", F.sha2("content", 256))).cache()
+
+    new, old = frame(sides["n"]), frame(sides["o"])
+
+    def score(a, b):
+        l1 = sum(abs(a.count(c) / len(a) - b.count(c) / len(b)) for c in range(256))
+        return round(abs(math.log2(len(a)) - math.log2(len(b))) + 2 * l1, 6)
+
+    def greedy(news):
+        pairs = sorted((score(a, b), p, n, o) for p, n, a in news for q, o, b in sides["o"] if p == q and score(a, b) < 2.0)
+        taken, out = set(), set()
+        for _, p, n, o in pairs:
+            if not {(p, n), (p, o)} & taken:
+                taken |= {(p, n), (p, o)}
+                out.add((p, n, o))
+        return out
+
+    got = {(r.pair_id, r.new_name, r.old_name) for r in diff.greedy_matches(new, old).collect()}
+    assert got == greedy(sides["n"]) and len(got) > diff.fuzzy_matches(new, old).count()
+    mapping = diff.member_mapping(new, old)
+    assert ("p", "moved", "o0") in {(r.pair_id, r.new_name, r.old_name) for r in mapping.collect()}
+    status = {(r.pair_id, r.name): (r.status, r.diff_score) for r in diff.diff_magnitude(new, old, mapping).collect()}
+    assert status["p", "moved"] == ("unchanged", 0.0) and len(status) == len(sides["n"])
+    assert sum(s == "modified" for s, _ in status.values()) == mapping.count() - 1
