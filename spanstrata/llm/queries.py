@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licenses, packing, pii, topk, urlfilter, vectordup
+from . import balltree, bpe, chat, histogramsort, langid, licenses, merkle, packing, pii, topk, urlfilter, vectordup
 from .common import TOKENIZERS, table
 from .minhash import near_duplicates
 
@@ -163,4 +163,86 @@ def op8(spark, sf_dir):
     )
 
 
+_BYTE = "CAST(strlen({0}) AS VARCHAR) || ':' || {0}"
+
+
+def _field(name: str) -> str:
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE {_BYTE.format(name)} END"
+
+
+_LEAF = "sha256({0} || {1} || {2} || {3} || {4})"
+_HEAD = [_field(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars")]
+#: One step of the reflected CRC-32 for a byte of an ASCII text, and the whole checksum's remainder by 2.
+_CRC_ODD = """list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda v, z: xor(v >> 1, 3988292384::UBIGINT * (v & 1)))) % 2 = 0"""
+
+MERKLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS i, doc_id, coalesce('.' || source, '') AS key,
+    {_LEAF.format(*_HEAD, _field("text"))} AS leaf, {_LEAF.format(*_HEAD, _field("replace(text, chr(10), '')"))} AS other, coalesce(NOT ({_CRC_ODD}), false) AS even
+  FROM documents),
+leaves AS (
+  SELECT *, CASE WHEN even THEN other ELSE leaf END AS changed, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf, i) - 1 AS pos,
+    count(*) OVER (PARTITION BY key) AS n FROM d),
+low AS (
+  SELECT key, 0 AS level, pos, leaf AS h, n FROM leaves
+  UNION ALL SELECT key, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM low WHERE n > 1 GROUP BY key, level, pos // 3, n),
+subroots AS (SELECT key, h AS subroot, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, pos, subroot AS h, n FROM subroots
+  UNION ALL SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM high WHERE n > 1 GROUP BY level, pos // 3, n),
+low_runs AS (SELECT key, level, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM low WHERE n > 1 GROUP BY ALL),
+high_runs AS (SELECT level, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM high WHERE n > 1 GROUP BY ALL),
+climb AS (
+  SELECT i, key, 0 AS level, pos, n, changed AS h, '' AS proof FROM leaves
+  UNION ALL SELECT c.i, c.key, c.level + 1, c.pos // 3, (c.n + 2) // 3,
+    sha256(array_to_string(list_transform(r.hs, lambda x, k: CASE WHEN k = c.pos % 3 + 1 THEN c.h ELSE x END), '')),
+    c.proof || array_to_string(list_filter(r.hs, lambda x, k: k <> c.pos % 3 + 1), '')
+  FROM climb c JOIN low_runs r ON r.key = c.key AND r.level = c.level AND r.run = c.pos // 3 WHERE c.n > 1),
+climb_on AS (
+  SELECT c.i, 0 AS level, s.pos, s.n, c.h, c.proof FROM climb c JOIN subroots s ON s.key = c.key WHERE c.n = 1
+  UNION ALL SELECT c.i, c.level + 1, c.pos // 3, (c.n + 2) // 3,
+    sha256(array_to_string(list_transform(r.hs, lambda x, k: CASE WHEN k = c.pos % 3 + 1 THEN c.h ELSE x END), '')),
+    c.proof || array_to_string(list_filter(r.hs, lambda x, k: k <> c.pos % 3 + 1), '')
+  FROM climb_on c JOIN high_runs r ON r.level = c.level AND r.run = c.pos // 3 WHERE c.n > 1)
+SELECT l.doc_id, l.leaf, s.subroot, t.h AS root, sha256(c.proof) AS proof_sha256, c.h AS folded_root, c.h = t.h AS verified
+FROM leaves l JOIN subroots s ON s.key = l.key JOIN high t ON t.n = 1 JOIN climb_on c ON c.i = l.i AND c.n = 1"""
+
+
+@query("op11_merkle_midstate_manifest", MERKLE_SQL)
+def op11(spark, sf_dir):
+    """Merkle tree of all documents by source; line breaks are deleted in documents of even id checksum."""
+    even = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 2 == 0, F.lit(False))
+    tampered = F.when(even, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.fold(merkle.manifest(table(spark, sf_dir, "documents"), tampered)).withColumnRenamed("id", "doc_id")
+
+
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+RANKED_SQL = f"""
+WITH q AS (SELECT item_id, t, count(*) AS r FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark WHERE item_id IS NOT NULL) GROUP BY item_id, t),
+d AS (SELECT row_number() OVER () AS i, doc_id, {_TERMS} AS words FROM documents),
+sized AS (SELECT i, doc_id, len(words)::BIGINT AS n FROM d WHERE len(words) > 0),
+a AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM sized),
+tf AS (SELECT i, t, count(*) AS tf FROM (SELECT i, unnest(words) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY i, t),
+w AS (SELECT t, floor(1000 * ln((2.0::DOUBLE * big_n + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM tf, a GROUP BY t, big_n),
+v AS (SELECT s.doc_id, tf.i, t, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * s.n * a.big_n) // a.big_l))) AS v FROM tf JOIN sized s ON s.i = tf.i, a),
+scored AS (SELECT q.item_id, v.doc_id, v.i, sum(q.r * w.w * v.v)::BIGINT AS score FROM q JOIN w ON w.t = q.t JOIN v ON v.t = q.t WHERE v.doc_id IS NOT NULL GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20"""
+
+
+@query("op12_ball_tree_ranked_search", RANKED_SQL)
+def op12(spark, sf_dir):
+    """The 20 best documents of each benchmark item by integer scores of their terms."""
+    return balltree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+@query("op13_histogram_sort_shards")
+def op13(spark, sf_dir):
+    """All documents in 24 shards of nearly equal bytes."""
+    placed = histogramsort.shard(table(spark, sf_dir, "documents"), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
