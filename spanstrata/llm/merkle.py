@@ -17,6 +17,7 @@ from .midstates import FANOUT, Path, Subtree, from_bytes, to_bytes
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 LEVELS = 7  # levels of one block of the tree
 BLOCK = FANOUT**LEVELS
+ROWS = 64  # blocks that are worth a task
 
 
 def leaf_hash(values: list[Column]) -> Column:
@@ -29,31 +30,16 @@ def leaf_hash(values: list[Column]) -> Column:
 def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Adds ``pos``, each row's place within its key, gapless from 0.
 
-    Rows are sorted by ranges of (key, order), so a key of any size spreads over the tasks.  Each
-    partition reports the run of its first and of its last key; what reaches the driver is one
-    row for each partition.
+    Rows are sorted by ranges of (key, order), so a key of any size spreads over the tasks.  What
+    reaches the driver is one row for each partition: its first and last key, the rows of the
+    last one and of all.
     """
     ranged = settle(rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order))
 
-    def ends(batches):
-        first = last = None
-        total = run = 0
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for i in _starts(keys):
-                if last is None:
-                    first = last = keys[i]
-                if keys[i] != last:
-                    last, run = keys[i], -i
-                elif i == 0:
-                    continue
-            run += len(keys)
-            total += len(keys)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (TaskContext.get().partitionId(), first, last, run, total)], names=["part", "first", "last", "run", "total"])
-
     offset, before, carried = {}, None, 0
-    for p in sorted(ranged.select(F.col(key).alias("key")).mapInArrow(ends, "part long, first string, last string, run long, total long").collect(), key=lambda p: p.part):
+    runs = ranged.groupBy(F.spark_partition_id().alias("part"), F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("run"))
+    ends = runs.groupBy("part").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.max_by("run", "key").alias("run"), F.sum("run").alias("total"))
+    for p in sorted(ends.collect(), key=lambda p: p.part):
         offset[p.part] = carried if p.first == before else 0
         carried = p.run + (offset[p.part] if p.run == p.total else 0)
         before = p.last
@@ -73,7 +59,7 @@ def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=[*batch.schema.names, "pos"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranged.schema.fields)
-    return ranged.mapInArrow(number, f"{schema}, pos long")
+    return settle(ranged.mapInArrow(number, f"{schema}, pos long"))
 
 
 def _starts(keys: list) -> list[int]:
@@ -82,8 +68,8 @@ def _starts(keys: list) -> list[int]:
     return [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist()] if len(keys) else []
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    """One row for each block of BLOCK neighbours: its root, all its nodes and the states that its parents keep.
+def _blocks(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """One row for each block of BLOCK neighbours: its root, all its nodes and the states that its parents keep; and the last block's number.
 
     A key's only block ends at one node; where a key has several, each has LEVELS levels.
     """
@@ -96,19 +82,28 @@ def _blocks(nodes: DataFrame) -> DataFrame:
         return pa.table({"key": table.column("key")[:1], "block": [block], "width": [table.num_rows], "levels": [len(tree.states)], "root": [to_bytes(tree.root)], "nodes": [kept[0]], "states": [kept[1]]})
 
     grouped = nodes.select("key", "pos", "digest", F.expr(f"pos div {BLOCK}").alias("block")).groupBy("key", "block")
-    return settle(grouped.applyInArrow(build, "key string, block long, width long, levels long, root binary, nodes binary, states binary"))
+    blocks = settle(grouped.applyInArrow(build, "key string, block long, width long, levels long, root binary, nodes binary, states binary"))
+    count, last = blocks.agg(F.count(F.lit(1)), F.max("block")).first()
+    return blocks.coalesce(max(1, -(-count // ROWS))), last or 0
 
 
 def _rounds(nodes: DataFrame) -> list[DataFrame]:
     """Tables of blocks, each over the roots of the one before, until every key has one block."""
-    rounds = [_blocks(nodes)]
-    while rounds[-1].where("block > 0").limit(1).count():
-        rounds.append(_blocks(rounds[-1].select("key", F.col("block").alias("pos"), F.col("root").alias("digest"))))
+    blocks, last = _blocks(nodes)
+    rounds = [blocks]
+    while last:
+        blocks, last = _blocks(blocks.select("key", F.col("block").alias("pos"), F.col("root").alias("digest")))
+        rounds.append(blocks)
     return rounds
 
 
-def _descend(blocks: DataFrame, paths: DataFrame) -> DataFrame:
-    """``key, pos, path`` of the children of blocks whose own paths (``key, block, path``) are known."""
+def _with_paths(blocks: DataFrame, paths: DataFrame) -> DataFrame:
+    """Blocks with the paths ``key, pos, path`` of their roots."""
+    return blocks.join(paths.withColumnRenamed("pos", "block"), ["key", "block"])
+
+
+def _descend(blocks: DataFrame) -> DataFrame:
+    """``key, pos, path`` of the children of blocks whose own ``path`` is known."""
 
     def run(batches):
         for batch in batches:
@@ -118,7 +113,7 @@ def _descend(blocks: DataFrame, paths: DataFrame) -> DataFrame:
                 found = tree.paths(row["path"])
                 yield pa.RecordBatch.from_arrays([pa.array([row["key"]] * len(found)), pa.array(range(first, first + len(found)), pa.int64()), pa.array(found, pa.binary())], names=["key", "pos", "path"])
 
-    rows = blocks.join(paths, ["key", "block"]).select("key", "block", "width", "levels", "nodes", "states", "path")
+    rows = blocks.select("key", "block", "width", "levels", "nodes", "states", "path")
     return rows.mapInArrow(run, "key string, pos long, path binary")
 
 
@@ -140,15 +135,15 @@ class Manifest:
 
     def paths(self) -> DataFrame:
         """``key, block, path, subroot, root``: the way from each lowest block to the root."""
-        down = self.root().select(F.lit("").alias("key"), F.lit(0).cast("long").alias("block"), F.lit(b"").alias("path"))
-        for blocks in reversed(self.over):
-            down = _descend(blocks, down).select("key", F.col("pos").alias("block"), "path")
-        down = self.sources.join(down.withColumnRenamed("block", "pos").drop("key"), "pos").select("key", F.lit(0).cast("long").alias("block"), "path")
+        down = _descend(self.over[-1].withColumn("path", F.lit(b"")))  # one block, nothing above it
+        for blocks in reversed(self.over[:-1]):
+            down = _descend(_with_paths(blocks, down))
+        down = self.sources.join(down.drop("key"), "pos").select("key", F.lit(0).cast("long").alias("pos"), "path")
         for blocks in reversed(self.rounds[1:]):
-            down = _descend(blocks, down).select("key", F.col("pos").alias("block"), "path")
+            down = _descend(_with_paths(blocks, down))
         roots = self.sources.select("key", F.col("digest").alias("subroot"))
         whole = self.root().agg(F.max("root").alias("root")).select("root").scalar()
-        return down.join(roots, "key").withColumn("root", whole)
+        return down.join(roots, "key").select("key", F.col("pos").alias("block"), "path", "subroot").withColumn("root", whole)
 
 
 def manifest(docs: DataFrame, replaced: Column | None = None, fields: tuple[str, ...] = FIELDS) -> Manifest:
@@ -173,7 +168,7 @@ def manifest(docs: DataFrame, replaced: Column | None = None, fields: tuple[str,
     leaves = numbered(rows, "key", ["id", "digest", "tie"]).drop("tie")
     rounds = _rounds(leaves)
     roots = rounds[-1].select("key", F.col("root").alias("digest"), F.lit("").alias("all"))
-    sources = settle(numbered(roots, "all", ["key"]))
+    sources = numbered(roots, "all", ["key"])
     return Manifest(leaves, rounds, sources, _rounds(sources.select(F.col("all").alias("key"), "pos", "digest")))
 
 
