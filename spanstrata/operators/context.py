@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import bytes as B
 from ..functions import classify as C
 from ..functions.numeric import flag, log2_floor
-from .ordering import positions, range_bucket
+from .ordering import positions
 
 
 def neighbor_delta(df: DataFrame, value: str = "entropy", half: int = 2, name: str = "delta_neighbor") -> DataFrame:
@@ -57,7 +57,7 @@ def object_positions(df: DataFrame, ordinal: str) -> DataFrame:
     keys = ["container", "object_id"]
     first = df.groupBy(*keys).agg(F.min(ordinal).alias("_first"))
     order = [F.col("_first"), F.col("object_id")]
-    placed = positions(first, ["container"], order, range_bucket(first, F.col("_first")), "_pos")
+    placed = positions(first, ["container"], order, name="_pos")
     sizes = first.groupBy("container").agg(F.count(F.lit(1)).alias("_objects"))
     scaled = placed.join(sizes, "container").select(
         *keys, ((F.col("_pos") - 1) / F.greatest(F.col("_objects") - 1, F.lit(1))).alias("object_index_norm")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytes as B
 from ..functions.numeric import r6, ratio
-from .ordering import materialize, positions, prefix_bucket
+from .ordering import materialize, positions
 
 # Branch names and thresholds.
 UNCHANGED, MODIFIED, NEW, REMOVED, RENAMED = "unchanged", "byte_modified", "new_in_packed", "removed", "renamed"
@@ -35,8 +35,8 @@ def snapshot_members(old: DataFrame, new: DataFrame) -> DataFrame:
     keys = ["pair_id", "sha256"]
     added = joined.where("old_name IS NULL").select("pair_id", F.col("new_sha256").alias("sha256"), "new_name", "new_size")
     gone = joined.where("new_name IS NULL").select("pair_id", F.col("old_sha256").alias("sha256"), "old_name", "old_size")
-    added = positions(added, keys, [F.col("new_name")], prefix_bucket(F.col("new_name")), "k")
-    gone = positions(gone, keys, [F.col("old_name")], prefix_bucket(F.col("old_name")), "k")
+    added = positions(added, keys, [F.col("new_name")], name="k")
+    gone = positions(gone, keys, [F.col("old_name")], name="k")
     rest = added.join(gone, [*keys, "k"], "full_outer").select(
         "pair_id", "new_name", "new_size", F.when(F.col("new_name").isNotNull(), F.col("sha256")).alias("new_sha256"),
         "old_name", "old_size", F.when(F.col("old_name").isNotNull(), F.col("sha256")).alias("old_sha256"),

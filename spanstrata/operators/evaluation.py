@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import as_int, r6
 from . import metrics as M
-from .ordering import materialize, range_bucket, running, top_per_group
+from .ordering import materialize, prefix_sums, top_per_group
 
 SUMS = (
     "support", "positives", "predicted_positives", "true_positives", "false_positives", "false_negatives", "true_negatives",
@@ -263,19 +263,13 @@ def resample_counts(
     Returns (replicate, *cells, drawn).
     """
     counted = materialize(df.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.lit(0)))
-    # Score buckets ride along, so replicates need no second look at the score range.
-    scores = cells[:-1]
-    counted = counted.withColumns({f"_bk_{c}": range_bucket(counted, F.col(c)) for c in scores})
-    base, cells = list(cells), [*cells, *[f"_bk_{c}" for c in scores]]
     if method == "poisson":
         reps = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
         each = counted.select(reps, *cells, "_n")
         key = F.xxhash64(F.lit(seed), "replicate", *cells)
         return each.select("replicate", *cells, poisson_draw(F.col("_n"), key).alias("drawn")).where("drawn > 0")
-    order_cols = [F.col(order), *[F.col(c) for c in base if c != order]]
-    ranged = running(
-        counted, ["_g"], order_cols, {"_hi": ("sum", F.col("_n"), True)}, F.col(f"_bk_{order}")
-    ).select(*cells, (F.col("_hi") - F.col("_n")).alias("_lo"), "_hi")
+    order_cols = [F.col(order), *[F.col(c) for c in cells if c != order]]
+    ranged = prefix_sums(counted, ["_g"], order_cols, {"_hi": (F.col("_n"), True)}).select(*cells, (F.col("_hi") - F.col("_n")).alias("_lo"), "_hi")
     total = counted.agg(F.sum("_n").alias("n"))
     spark = df.sparkSession
     reps = spark.range(1, replicates + 1).select(F.col("id").alias("replicate"))
@@ -300,11 +294,11 @@ def resample_counts(
 
 def weighted_auroc(counts: DataFrame, keys: Sequence[str], score: str, truth: str, weight: str) -> DataFrame:
     """AUROC per key of rows carrying a multiplicity; keys with one class are dropped."""
-    h = counts.groupBy(*keys, F.col(score).alias("_s"), F.col(f"_bk_{score}").alias("_bk")).agg(
+    h = counts.groupBy(*keys, F.col(score).alias("_s")).agg(
         F.sum(F.when(F.col(truth) == 1, F.col(weight)).otherwise(0)).alias("_p"),
         F.sum(F.when(F.col(truth) != 1, F.col(weight)).otherwise(0)).alias("_q"),
     )
-    cum = running(h, keys, [F.col("_s")], {"_below": ("sum", F.col("_q"), False)}, F.col("_bk"))
+    cum = prefix_sums(h, keys, [F.col("_s")], {"_below": (F.col("_q"), False)})
     agg = cum.groupBy(*keys).agg(
         F.sum(F.col("_p").cast("double") * (F.col("_below") + F.col("_q") / 2.0)).alias("_w"),
         F.sum("_p").cast("double").alias("_P"),

@@ -1,7 +1,7 @@
 """Exact evaluation metrics as grouped aggregations.
 
 Rows are first collapsed to counts per distinct score; cumulative counts over
-the scores then come from ``running`` with range buckets, so neither a large
+the scores then come from ``prefix_sums``, so neither a large
 fold nor a single global ordering ends up in one task.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import as_int, r6, ratio
 from .intervals import boundary_error, set_iou, set_overlap
-from .ordering import materialize, range_bucket, running
+from .ordering import prefix_sums
 
 ALL = "_all"
 
@@ -57,7 +57,9 @@ def hard_labels(df: DataFrame, score: Column, threshold: float, name: str = "pre
 
 
 def score_counts(df: DataFrame, score: Column, truth: Column, keys: Sequence[str]) -> DataFrame:
-    return df.select(*keys, score.cast("double").alias("score"), truth.alias("_y")).groupBy(*keys, "score").agg(
+    """Rows of each distinct score by truth; rows without a score are left out."""
+    slim = df.select(*keys, score.cast("double").alias("score"), truth.alias("_y")).where("score IS NOT NULL")
+    return slim.groupBy(*keys, "score").agg(
         F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") != 1).alias("neg")
     )
 
@@ -65,16 +67,9 @@ def score_counts(df: DataFrame, score: Column, truth: Column, keys: Sequence[str
 def score_curve(df: DataFrame, score: Column, truth: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Per distinct score: own counts, counts at or above it (tp, fp) and class totals."""
     work, k = _keyed(df, keys)
-    counts = materialize(score_counts(work, score, truth, k))
-    cumulative = running(
-        counts,
-        k,
-        [F.col("score").desc()],
-        {"tp": ("sum", F.col("pos"), True), "fp": ("sum", F.col("neg"), True)},
-        range_bucket(counts, F.col("score"), descending=True),
-    )
-    totals = counts.groupBy(*k).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
-    return cumulative.join(totals, k)
+    counts = score_counts(work, score, truth, k)
+    sums = {"tp": (F.col("pos"), True), "fp": (F.col("neg"), True)}
+    return prefix_sums(counts, k, [F.col("score").desc()], sums, {"positives": "tp", "negatives": "fp"})
 
 
 def ranking_quality(df: DataFrame, score: Column, truth: Column, keys: Sequence[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
 from ..functions.scoring import sigmoid
-from .ordering import positions, range_bucket, top_per_group
+from .ordering import positions, top_per_group
 
 
 def vector_pool(rows: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
@@ -48,7 +48,7 @@ def top_k_pool(items: DataFrame, bag: str, item: str, logit: str, k: int = 1, ra
     sizes = items.groupBy(bag).agg(F.count(F.lit(1)).alias("_n"))
     want = F.greatest(F.lit(1), F.bround(F.col("_n") * ratio, 0).cast("bigint")) if ratio > 0 else F.lit(k)
     order = [F.col(logit).desc(), F.col(item)]
-    placed = positions(items, [bag], order, range_bucket(items, F.col(logit), descending=True), "_pos")
+    placed = positions(items, [bag], order, name="_pos")
     j = placed.join(sizes, bag).withColumn("_k", F.least(want, F.col("_n"))).where(F.col("_pos") <= F.col("_k"))
     return j.select(bag, item, logit, (F.lit(1.0) / F.col("_k")).alias("weight"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import sample_digest
-from .ordering import hash_bucket, materialize, positions, range_bucket
+from .ordering import materialize, positions, prefix_sums
 
 ALL = "_all"
 
@@ -22,7 +22,7 @@ def hash_ranked(df: DataFrame, keys: Sequence[str], seed: int, parts: Sequence[C
     """1-based rank in the digest order of each stratum."""
     d = df.withColumn("_md5", sample_digest(seed, *parts))
     work, k = (d, list(keys)) if keys else (d.withColumn(ALL, F.lit(0)), [ALL])
-    return positions(work, k, [F.col("_md5")], hash_bucket(F.col("_md5")), name).drop("_md5", ALL)
+    return positions(work, k, [F.col("_md5")], name=name).drop("_md5", ALL)
 
 
 def group_split(df: DataFrame, group: str, assignment: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -99,7 +99,7 @@ def seed_disjoint_counts(rows: DataFrame, roles: DataFrame, seed_col: str, famil
 def _round_robin(df: DataFrame, strata: Sequence[str], seed: int, key: Column) -> DataFrame:
     """Global position when the strata are visited in turn, each in digest order."""
     ranked = materialize(hash_ranked(df, strata, seed, [key], "_rr").withColumn(ALL, F.lit(0)))
-    return positions(ranked, [ALL], [F.col("_rr"), *[F.col(s) for s in strata]], range_bucket(ranked, F.col("_rr")), "_turn").drop(ALL)
+    return positions(ranked, [ALL], [F.col("_rr"), *[F.col(s) for s in strata]], name="_turn").drop(ALL)
 
 
 def stratified_sample(df: DataFrame, target: int, min_positive: int, group: str, label: str, key: str, seed: int = 0) -> DataFrame:
@@ -130,10 +130,10 @@ def fit_calibration_split(
     ranked = materialize(ranked.withColumn("_first", first))
     turned = _round_robin(ranked.where("NOT _first").drop("rn", "_first"), [group, label], seed + 1, F.col(key))
     turned = materialize(turned)
-    inside = positions(turned, [label], [F.col("_turn")], range_bucket(turned, F.col("_turn")), "_in_label")
+    inside = positions(turned, [label], [F.col("_turn")], name="_in_label")
     cap = F.when(F.col(label) == 1, n["p"] - 1 - kp).otherwise(neg - 1 - kn)
     allowed = materialize(inside.where(F.col("_in_label") <= cap).withColumn(ALL, F.lit(0)))
-    order = positions(allowed, [ALL], [F.col("_turn")], range_bucket(allowed, F.col("_turn")), "_fill")
+    order = positions(allowed, [ALL], [F.col("_turn")], name="_fill")
     extra = order.where(F.col("_fill") <= target - kp - kn).select(key)
     chosen = ranked.where("_first").select(key).unionByName(extra).withColumn("_c", F.lit(True))
     return df.join(chosen, key, "left").withColumn("part", F.when(F.col("_c"), "calibration").otherwise("fit")).drop("_c")
@@ -154,7 +154,7 @@ def subsample_bags(df: DataFrame, bag: str, positive: Column, key: str, max_size
 def subsample_windows(df: DataFrame, bag: str, obj: str, index: str, max_windows: int, seed: int = 0) -> DataFrame:
     """At most ``max_windows`` windows per bag with a new consecutive ``new_index``."""
     picked = hash_ranked(df, [bag], seed, [F.col(bag), F.col(index)]).where(F.col("rn") <= max_windows).drop("rn")
-    placed = positions(picked, [bag], [F.col(index)], range_bucket(picked, F.col(index)), "_p")
+    placed = positions(picked, [bag], [F.col(index)], name="_p")
     return placed.withColumn("new_index", F.col("_p") - 1).drop("_p")
 
 
@@ -210,13 +210,11 @@ def control_training_set(df: DataFrame, mode: str, family: str, label: str, targ
     n = own.agg(F.count(F.lit(1)).alias("n")).scalar()
     counts = others.groupBy(family).agg(F.count(F.lit(1)).alias("_c")).withColumn(ALL, F.lit(0))
     before = positions_sum(counts, family)
-    inside = positions(others, [family], [F.col(key)], range_bucket(others, F.col(key)), "_i")
+    inside = positions(others, [family], [F.col(key)], name="_i")
     replay = inside.join(before, family).where(F.col("_i") + F.col("_before") <= n)
     return out.unionByName(replay.select(*df.columns))
 
 
 def positions_sum(counts: DataFrame, family: str) -> DataFrame:
     """Rows of all families that sort before a family (one row per family)."""
-    from .ordering import running
-
-    return running(counts, [ALL], [F.col(family)], {"_before": ("sum", F.col("_c"), False)}).select(family, "_before")
+    return prefix_sums(counts, [ALL], [F.col(family)], {"_before": (F.col("_c"), False)}).select(family, "_before")

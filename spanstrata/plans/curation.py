@@ -265,11 +265,11 @@ SELECT container, object_id, min(ni) AS "start", max(ni) + 1 AS "end" FROM p GRO
 
 @query("k7_subsample_windows", K7_SQL, ("windows",))
 def k7(t):
-    from ..operators.ordering import positions, range_bucket
+    from ..operators.ordering import positions
     from .detection import windows
 
     w = windows(t).select("container", "object_id", "window_index", F.substring_index("object_id", ":", -1).cast("int").alias("ord"))
-    w = positions(w, ["container"], [F.col("ord"), F.col("window_index")], range_bucket(w, F.col("ord"))).withColumn("idx", F.col("pos") - 1)
+    w = positions(w, ["container"], [F.col("ord"), F.col("window_index")]).withColumn("idx", F.col("pos") - 1)
     return K.object_bounds(K.subsample_windows(w, "container", "object_id", "idx", 100, 4), "container", "object_id")
 
 

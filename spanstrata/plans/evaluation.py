@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import as_int, r6
 from ..operators import evaluation as E
 from ..operators import metrics as M
-from ..operators.ordering import range_bucket, running
+from ..operators.ordering import prefix_sums
 from .base import query
 
 
@@ -361,7 +361,7 @@ FROM scored""",
 def f5(t):
     items = t.scored.select("l_orderkey", "l_linenumber", "suppkey", "score")
     counts = items.groupBy("score").agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.lit(0))
-    below = running(counts, ["_g"], [S()], {"_below": ("sum", F.col("_n"), False)}, range_bucket(counts, S()))
+    below = prefix_sums(counts, ["_g"], [S()], {"_below": (F.col("_n"), False)})
     ranks = below.select("score", (F.col("_below") + (F.col("_n") + 1) / 2.0).alias("avg_rank"))
     return items.join(ranks, "score")
 

@@ -387,10 +387,10 @@ SELECT container, x AS left_id, y AS right_id, round_even(sum(d), 6) AS l1 FROM
     ("obytes",),
 )
 def b11(t):
-    from ..operators.ordering import positions, range_bucket
+    from ..operators.ordering import positions
 
     o = t.objects.select("container", "object_id", "doc_id", F.length("content").alias("n"), B.byte_histogram("content").alias("hist"))
-    placed = positions(o.select("container", "object_id", "doc_id"), ["container"], [F.col("doc_id")], range_bucket(o, F.col("doc_id")))
+    placed = positions(o.select("container", "object_id", "doc_id"), ["container"], [F.col("doc_id")])
     o = o.join(placed.select("object_id", "pos"), "object_id")
     right = o.select("container", F.col("object_id").alias("right_id"), (F.col("pos") - 1).alias("pos"), F.col("hist").alias("rh"), F.col("n").alias("rn"))
     pairs = o.withColumnRenamed("object_id", "left_id").join(right, ["container", "pos"])

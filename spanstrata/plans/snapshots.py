@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import decide as V
 from ..operators import diff as D
 from ..operators import rules as R
-from ..operators.ordering import materialize, positions, range_bucket
+from ..operators.ordering import materialize, positions
 from . import base
 from .base import dealt, query
 from .detection import labelled
@@ -28,7 +28,7 @@ def members(t):
 def build_members(t):
     docs = dealt(t.documents).select("doc_id", "source", "lang", F.encode("text", "UTF-8").alias("content"))
     ids = docs.select("doc_id", "source", "lang")
-    placed = positions(ids, ["source", "lang"], [F.col("doc_id")], range_bucket(ids, F.col("doc_id")))
+    placed = positions(ids, ["source", "lang"], [F.col("doc_id")])
     num = F.expr(NUM)
     named = placed.select(
         "doc_id", F.floor(num / 2).cast("int").alias("pair_id"), (num % 2).alias("side"),
