@@ -131,3 +131,44 @@ def test_top_k(spark):
                 assert sorted(got[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
     assert topk.top_k(frame.limit(0), frame.vec_id > 0).count() == 0
     assert topk.top_k(frame.where("vec_id in (0, 1)"), frame.vec_id == 1).count() == 2
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e4, 4e5, 3e14])
+def test_top_k_of_large_components(spark, scale):
+    """Sums of impacts far beyond 52 bits, of both signs; at the last scale products leave 64 bits while scores fit."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((500, 16))
+    if scale > 1e12:  # large components meet zeros only
+        base[:, 1:] *= 1e-13
+        base[::50, 0] = 0
+    rows = [(i, (v * scale).tolist()) for i, v in enumerate(base)] + [(900, (-base[7] * scale).tolist()), (901, (base[7] * scale).tolist())]
+    if scale > 1e12:
+        rows[-2:] = []
+    ints = {i: [math.floor(1024.0 * x) for x in v] for i, v in rows}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in topk.top_k(frame, frame.vec_id % 50 == 0, k=10, block=200).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == [i for i in sorted(ints) if i % 50 == 0]
+    for q, found in got.items():
+        best = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), j) for j, v in ints.items() if j != q)[:10]
+        assert sorted(found) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
+
+
+def test_top_k_refuses_what_no_long_holds(spark):
+    for v in ([1e17], [4e15]):  # a component, and a product of components
+        frame = spark.createDataFrame([(0, v), (1, v)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="too large|does not fit"):
+            topk.top_k(frame, frame.vec_id == 0).collect()
+
+
+def test_top_k_bounds_hold_in_shifted_units():
+    """With impacts in units of a power of two every true member stays possible."""
+    rng = np.random.default_rng(10)
+    vectors = rng.integers(-(1 << 40), 1 << 40, (2000, 8))
+    index, ids, allowed = topk.ImpactIndex(vectors), np.arange(2000), np.ones(2000, bool)
+    for _ in range(5):
+        query = rng.integers(-(1 << 19), 1 << 19, 8)
+        rows, score = index.top(query, allowed, ids, 10)
+        exact = vectors @ query
+        assert score.tolist() == np.sort(exact)[::-1][:10].tolist()
