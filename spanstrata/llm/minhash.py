@@ -16,6 +16,8 @@ from .hashing import _ODD, mix, shingle_set, texts_to_words
 
 ROWS = 5  # minima in a band
 SEED = 20
+SIGNATURE = 512  # minima of a signature, a byte of each
+MARGIN = 4.5  # standard errors below the limit at which a signature still passes
 CHUNK = 512  # nodes of a cluster that meet as many others in one task
 
 
@@ -43,8 +45,8 @@ def _node(shingles: np.ndarray) -> bytes | None:
 class MinHash:
     """Minima of a set's hashes under many universal hash functions, and the keys of their bands."""
 
-    def __init__(self, bands: int, rows: int = ROWS):
-        rng = np.random.default_rng(SEED)
+    def __init__(self, bands: int, rows: int = ROWS, seed: int = SEED):
+        rng = np.random.default_rng(seed)
         self.bands, self.rows = bands, rows
         self.a = rng.integers(0, 1 << 63, (bands * rows, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 1 << 63, (bands * rows, 1), dtype=np.uint64)
@@ -63,7 +65,13 @@ class MinHash:
 
     @staticmethod
     def signature(minima: np.ndarray) -> bytes:
-        return (minima >> np.uint64(32)).astype("<u4").tobytes()
+        return (minima >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def least_agreement(percent: int) -> float:
+    """Share of equal signature bytes that a pair of exactly the least similarity misses with probability below 1e-5."""
+    p = percent / 100 + (1 - percent / 100) / 256  # bytes of different minima agree by chance
+    return p - MARGIN * math.sqrt(p * (1 - p) / SIGNATURE)
 
 
 def sketches(docs: DataFrame, k: int, bands: int) -> DataFrame:
@@ -109,30 +117,58 @@ def _unresolved(members: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.select("node", "part", "cluster", (F.col("part") != F.col("main")).alias("rest"), "n", (F.col("n") - F.col("most")).alias("r"))
 
 
-def _cross_links(rows: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
-    """Links between the components of each cluster, as few as connect what all of them connect.
+def _blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the comparison in each cluster, dealt into blocks ``cluster, i, j``.
 
     The nodes outside of a cluster's largest component, in chunks, meet the chunks of all its
-    nodes; one pair of chunks is one group, so a cluster of any size spreads over the tasks.
-    A group compares signatures first and then full sets, skips what is connected already, and
-    returns at most one link for each node that it joins.
+    nodes; one pair of chunks is one block, so a cluster of any size spreads over the tasks.
     """
-    rows = rows.join(sets, "node")
     chunk = F.expr(f"pmod(xxhash64(node), ceil(n / {CHUNK}))")
     lone = F.expr(f"pmod(xxhash64(node, 1), ceil(r / {CHUNK}))")
-    columns = ["cluster", "node", "part", "minima", "shingles"]
+    columns = ["cluster", "node", "part", "minima"]
     left = rows.where("rest").select(*columns, F.lit(True).alias("asks"), lone.alias("i"), F.explode(F.expr(f"sequence(0L, ceil(n / {CHUNK}) - 1)")).alias("j"))
     right = rows.select(*columns, F.lit(False).alias("asks"), F.explode(F.expr(f"sequence(0L, ceil(r / {CHUNK}) - 1)")).alias("i"), chunk.alias("j"))
+    return left, right
+
+
+def _sides(table: pa.Table):
+    """Nodes of a block, the number of each one's component, and the places of its two sides."""
+    node = table.column("node").to_pylist()
+    root = np.unique(np.array(table.column("part").to_pylist(), dtype=object), return_inverse=True)[1].reshape(-1)
+    same = {}
+    for i, x in enumerate(node):  # a node may stand on both sides
+        root[i] = root[same.setdefault(x, i)]
+    asks = table.column("asks").to_numpy(zero_copy_only=False)
+    return node, root, np.flatnonzero(asks), np.flatnonzero(~asks)
+
+
+def _likely_nodes(rows: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
+    """``cluster, i, j, node, part, asks``: the nodes of each block whose signature agrees with one of another component."""
+    left, right = _blocks(rows.join(signatures, "node"))
+
+    def block(table: pa.Table) -> pa.Table:
+        _, root, left, right = _sides(table)
+        sig = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint8).reshape(len(root), -1)
+        keep = np.zeros(len(root), bool)
+        for x in left:
+            y = right[root[right] != root[x]]
+            y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
+            keep[y] = True
+            keep[x] = len(y) > 0
+        return table.filter(pa.array(keep)).drop_columns(["minima"]).select(["cluster", "i", "j", "node", "part", "asks"])
+
+    return left.union(right).groupBy("cluster", "i", "j").applyInArrow(block, "cluster binary, i long, j long, node binary, part binary, asks boolean")
+
+
+def _cross_links(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of each cluster, as few as connect what all of them connect.
+
+    A block compares full sets, skips what is connected already, and returns at most one link
+    for each node that it joins.
+    """
 
     def block(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_pylist()
-        root = np.unique(np.array(table.column("part").to_pylist(), dtype=object), return_inverse=True)[1].reshape(-1)
-        same = {}
-        for i, x in enumerate(node):  # a node may stand on both sides
-            root[i] = root[same.setdefault(x, i)]
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
-        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
-        sig = np.frombuffer(b"".join(table.column("minima").to_pylist()), "<u4").reshape(len(node), -1)
+        node, root, left, right = _sides(table)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
         size = np.array([len(x) for x in sets])
         ends = np.cumsum(size)
@@ -141,7 +177,6 @@ def _cross_links(rows: DataFrame, sets: DataFrame, least: float, percent: int) -
         out_a, out_b = [], []
         for x in left:
             y = right[root[right] != root[x]]
-            y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
             if not len(y):
                 continue
             own = numbers[ends[x] - size[x] : ends[x]]
@@ -155,51 +190,69 @@ def _cross_links(rows: DataFrame, sets: DataFrame, least: float, percent: int) -
                     root[root == root[z]] = root[x]
         return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
-    return left.union(right).groupBy("cluster", "i", "j").applyInArrow(block, "a binary, b binary").distinct()
+    return likely.join(sets, "node").groupBy("cluster", "i", "j").applyInArrow(block, "a binary, b binary").distinct()
 
 
-#: Bound of the table that is sent to all tasks before the exact join: so many buckets of ids.
+#: Bound of the table that is sent to all tasks before an exact join: so many buckets of ids.
 ID_BUCKETS = 1 << 20
 
 
-def _sets(docs: DataFrame, k: int, bands: int, wanted: DataFrame) -> DataFrame:
-    """``node, shingles, minima`` of the wanted nodes, computed anew from one document each.
-
-    The texts are first thinned by a bucket of their id (at most ID_BUCKETS buckets, so the
-    broadcast has a fixed bound), so that the exact join shuffles few texts that no pair needs.
-    """
+def _near(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Documents of the buckets (at most ID_BUCKETS, so the broadcast has a fixed bound) that hold a wanted doc_id."""
     bucket = F.expr(f"pmod(xxhash64(doc_id), {ID_BUCKETS}L)")
     near = F.broadcast(wanted.select(bucket.alias("bucket")).distinct())
-    texts = docs.withColumn("bucket", bucket).join(near, "bucket", "left_semi").drop("bucket")
+    return docs.withColumn("bucket", bucket).join(near, "bucket", "left_semi").drop("bucket")
+
+
+def _signatures(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """``node, minima`` of the wanted nodes (``doc_id, node``), computed anew; no text is shuffled."""
 
     def run(batches):
-        family = MinHash(bands)
+        family = MinHash(SIGNATURE, 1, SEED + 1)
         for batch in _slices(batches):
             sets = list(_shingles(batch, k))
             minima = [family.signature(family.minima(s)) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(map(_node, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(minima, pa.binary())],
-                names=["doc_id", "node", "shingles", "minima"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.binary()), pa.array(minima, pa.binary())], names=["node", "minima"])
+
+    found = _near(docs, wanted).mapInArrow(run, "node binary, minima binary").where("node is not null")
+    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """``node, shingles``: full sets of the wanted nodes (and of other texts of their doc_ids), from one document each."""
+
+    def run(batches):
+        for batch in _slices(batches):
+            sets = list(_shingles(batch, k))
+            yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+
+    texts = _near(docs, wanted).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    return texts.mapInArrow(run, "node binary, shingles binary").dropDuplicates(["node"])
+
 
-    sets = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(run, "doc_id long, node binary, shingles binary, minima binary")
-    return sets.join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "shingles", "minima")
+def _agreeing(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
+    """The pairs whose signatures agree often enough."""
+    rows = pairs.join(signatures.toDF("a", "ma"), "a").join(signatures.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
+
+    def run(batches):
+        for batch in batches:
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("ma", "mb"))
+            yield batch.filter(pa.array((p == q).mean(axis=1) >= least)).select(["a", "b"])
+
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
-    """The pairs whose signatures agree often enough and whose full sets reach the similarity."""
-    rows = pairs.join(sets.toDF("a", "sa", "ma"), "a").join(sets.toDF("b", "sb", "mb"), "b").select("a", "b", "sa", "sb", "ma", "mb")
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the similarity."""
+    rows = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
 
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y, p, q in zip(*(batch.column(c) for c in ("sa", "sb", "ma", "mb")), strict=True):
-                good = (np.frombuffer(p.as_buffer(), "<u4") == np.frombuffer(q.as_buffer(), "<u4")).mean() >= least
-                if good:
-                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good = 100 * both >= percent * (len(x) + len(y) - both)
-                keep.append(bool(good))
+            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return rows.mapInArrow(run, "a binary, b binary")
@@ -216,8 +269,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Documents of one set (exact copies, repeated rows) form one node.  Nodes that share a
     band of MinHash minima are compared: each bucket's members with its most met member
     first; then, where buckets still hold several components, these with each other.  Pairs
-    pass the share of equal minima (a margin of six standard errors below the limit) and then
-    the full sets.  Sets are compared as 64-bit hashes.
+    pass the share of equal minima (``least_agreement``) and then
+    the full sets, which are fetched only for nodes that passed.  Sets are compared as 64-bit hashes.
 
     A null or empty text, or one of white space, has an empty set and no links.  A null
     doc_id has component null and is kept.  Rows that share a doc_id are one document for
@@ -225,7 +278,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bands = band_count(percent)
-    least = percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / (bands * ROWS))
+    least = least_agreement(percent)
     drawn = settle(sketches(docs, k, bands))
     full = drawn.where("node is not null and doc_id is not null")
     classes = settle_small(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.any_value("keys").alias("keys")))
@@ -235,15 +288,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = settle_small(spread.join(crowded, "key"))
     pairs = settle_small(_star_pairs(members))
 
-    def sets(nodes):
-        return _sets(docs, k, bands, classes.join(nodes.distinct(), "node", "left_semi").select("doc_id", "node"))
+    def wanted(nodes):
+        return classes.join(nodes.distinct(), "node", "left_semi").select("doc_id", "node")
 
+    signatures = settle(_signatures(docs, k, wanted(members.select("node"))))
+    pairs = settle_small(_agreeing(pairs, signatures, least))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    links = settle_small(_confirm(pairs, sets(ends), least, percent))
+    links = settle_small(_confirm(pairs, _sets(docs, k, wanted(ends)), percent))
     parts = connected_components(links, "a", "b").toDF("node", "part")
     rest = settle_small(_unresolved(members, parts))
     if not rest.isEmpty():
-        more = settle_small(_cross_links(rest, sets(rest.select("node")), least, percent))
+        likely = settle_small(_likely_nodes(rest, signatures, least))
+        more = settle_small(_cross_links(likely, _sets(docs, k, wanted(likely.select("node"))), percent))
         parts = connected_components(links.union(more), "a", "b").toDF("node", "part")
 
     known = classes.join(parts, "node", "left").where("part is not null or copies > 1").withColumn("part", F.coalesce("part", "node"))
