@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle
+from .common import releasing, settle
 from .hashing import _BACK, _BASE
 
 LONGEST = 32  # characters of a word that are segmented together; longer runs of letters are cut
@@ -124,7 +124,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             rows = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
             yield pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows], pa.string()), "word": pa.array([r[1] for r in rows], pa.string()), "n": pa.array([r[2] for r in rows], pa.int64())})
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(releasing(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def sample_of(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
@@ -237,7 +237,7 @@ def mark(docs: DataFrame, model: Model, language: str = "lang_pred", posterior:
 
     docs = docs.select(*dict.fromkeys([*keep, "text"]))
     fields = [*docs.select(*keep).schema.fields, T.StructField(language, T.StringType()), T.StructField(posterior, T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType(fields))
+    return docs.mapInArrow(releasing(run), T.StructType(fields))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, settle_small
+from .common import releasing, settle, settle_small
 from .components import connected_components
 from .hashing import _ODD, mix, shingle_set, texts_to_words
 
@@ -89,7 +89,7 @@ def sketches(docs: DataFrame, k: int, bands: int) -> DataFrame:
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "keys"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node binary, keys array<long>")
+    return docs.mapInArrow(releasing(run), "doc_id long, n_shingles long, node binary, keys array<long>")
 
 
 def _star_pairs(members: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def _signatures(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
             minima = [family.signature(family.minima(s)) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.binary()), pa.array(minima, pa.binary())], names=["node", "minima"])
 
-    found = _near(docs, wanted).mapInArrow(run, "node binary, minima binary").where("node is not null")
+    found = _near(docs, wanted).mapInArrow(releasing(run), "node binary, minima binary").where("node is not null")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -227,7 +227,7 @@ def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
     texts = _near(docs, wanted).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    return texts.mapInArrow(run, "node binary, shingles binary").dropDuplicates(["node"])
+    return texts.mapInArrow(releasing(run), "node binary, shingles binary").dropDuplicates(["node"])
 
 
 def _agreeing(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:

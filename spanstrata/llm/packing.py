@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import releasing, settle
 
 LENGTH = 2048
 GROUP = 4096  # pieces that are packed together
-CACHE = 80_000  # chunks of text of each of two generations whose ids a worker remembers
+CACHE = 200_000  # chunks of text of each of two generations whose ids a worker remembers
 ROWS = 256  # texts that a worker holds at once
 
 
@@ -40,13 +40,12 @@ class ChunkEncoder:
     id.  Otherwise such strings are ordinary text.
     """
 
-    def __init__(self, path: str, added_tokens: bool = False):
+    def __init__(self, path: str, added_tokens: bool = False, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()] if added_tokens else []
-
+        self.path, self.cache, self.whole = path, cache, None
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
@@ -54,6 +53,10 @@ class ChunkEncoder:
 
     def encode(self, text: bytes) -> bytes:
         if any(a in text for a in self.added):
+            if self.whole is None:
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_file(self.path)
             return array("I", self.whole.encode(text.decode(), add_special_tokens=False).ids).tobytes()
         if b"\xcc" not in text and b"\xcd" not in text:  # first bytes of U+0300 to U+037F
             text = text.lower()
@@ -65,7 +68,7 @@ class ChunkEncoder:
             return b"".join(map(self.known.__getitem__, chunks))
 
     def _learn(self, chunks):
-        if len(self.known) > CACHE:  # what was used in the last generation stays for one more
+        if len(self.known) > self.cache:  # what was used in the last generation stays for one more
             self.old, self.known = self.known, {}
         known, old, new = self.known, self.old, {c for c in chunks if c not in self.known}
         known.update((c, old[c]) for c in new if c in old)
@@ -92,17 +95,18 @@ class ChunkEncoder:
             known[c] = known[c[:-1]] + known[c[-1:]]
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = LENGTH, ids: bool = False, added_tokens: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = LENGTH, ids: bool = False, added_tokens: bool = False, cache: int = CACHE) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens``: each document's ids, cut every ``length`` ids.
 
     ``ids=True`` adds the ids themselves (``ids`` binary).  The ids of a document end with
-    ``end_id``; a null or empty text has that id alone.  ``added_tokens``: see ``ChunkEncoder``.
+    ``end_id``; a null or empty text has that id alone.  ``added_tokens``: see ``ChunkEncoder``;
+    ``cache``: chunks that a worker remembers, some 150 bytes each, in each of two generations.
     """
     end = array("I", [end_id]).tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * ids
 
     def run(batches):
-        encoder = ChunkEncoder(tokenizer_path, added_tokens)
+        encoder = ChunkEncoder(tokenizer_path, added_tokens, cache)
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -119,7 +123,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length:
 
     types = [pa.int64()] * 5 + [pa.binary()] * ids
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(run), schema)
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,10 +175,10 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFra
     return dealt.groupBy("_group").applyInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = LENGTH, ids: bool = False, added_tokens: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = LENGTH, ids: bool = False, added_tokens: bool = False, cache: int = CACHE) -> DataFrame:
     """Tokenises and packs all documents; every id lies in exactly one piece.
 
     A null doc_id is kept as null, rows that repeat are documents of their own, ties in size go
     by crc32, doc_id and start; other columns of ``docs`` are ignored; no documents give no rows.
     """
-    return pack(token_pieces(docs, tokenizer_path, end_id, length, ids, added_tokens), length)
+    return pack(token_pieces(docs, tokenizer_path, end_id, length, ids, added_tokens, cache), length)
