@@ -12,6 +12,8 @@ from spanstrata.llm.common import TOKENIZERS, table, work_folder
 
 #: A document goes if no language has this posterior, or if it has no letters.
 LEAST_POSTERIOR = 0.5
+#: Chunks of text that a packing worker remembers; the workers of a pipeline also keep what earlier stages left.
+CACHE = 80_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of 2048 ids."""
-    return packing.pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json", added_tokens=True)
+    return packing.pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json", added_tokens=True, cache=CACHE)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("pack", pack)]
