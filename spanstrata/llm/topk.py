@@ -7,9 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 8192  # candidates of one index
+BLOCK = 16_384  # candidates of one index
 LARGEST = float(2**62)  # scaled components reach less than this
 WIDE = 2**62  # sums below it are added up in 64 bits
+NARROW = 52  # bits of a sum that can share a number with its count
 LEVELS = 32  # quantised impacts of a dimension
 CHECK = 64  # segments between two attempts at a proof
 FEW = 16  # a proof is complete when one in FEW candidates is possible
@@ -50,7 +51,7 @@ class ImpactIndex:
             self.segments.append(np.split(order, np.searchsorted(level[order, d], np.arange(1, LEVELS))))
 
     def _ordered(self, query: np.ndarray):
-        """All segments with upper bounds of their impacts, in descending order; the shift that keeps sums in 64 bits; the slack.
+        """All segments with upper bounds of their impacts, in descending order; the slack; a bound of all sums of impacts.
 
         Impacts count in units of ``2**shift``, rounded up, so that a sum over all dimensions stays below WIDE.
         """
@@ -70,7 +71,7 @@ class ImpactIndex:
             slack = sum((w * x >> shift) + 2 for w, x in zip(weight.tolist(), (self.width - 1).tolist(), strict=True))
         keep = weight[d] > 0
         order = np.argsort(-impact[keep], kind="stable")
-        return d[keep][order].tolist(), level[keep][order].tolist(), impact[keep][order], slack
+        return d[keep][order].tolist(), level[keep][order].tolist(), impact[keep][order], slack, min(top, WIDE)
 
     def top(self, query: np.ndarray, allowed: np.ndarray, ids: np.ndarray, k: int):
         """Rows of the ``k`` highest scores among ``allowed`` ones, ties to smaller ids, and the scores.
@@ -84,18 +85,21 @@ class ImpactIndex:
         rows = np.flatnonzero(allowed)
         if len(rows) > k and dims:
             total, count = np.zeros(n, np.int64), np.zeros(n, np.int32)
-            d, level, impact, slack = self._ordered(query)
+            d, level, impact, slack, most = self._ordered(query)
+            both = most < 1 << NARROW  # one addition for sum and count, where no sum can reach the count's bits
+            step = impact + (np.int64(1) << np.int64(NARROW)) if both else impact
             for at in range(len(d)):
                 posting = self.segments[d[at]][level[at]]
                 if len(posting):
-                    total[posting] += impact[at]
-                    count[posting] += 1
+                    total[posting] += step[at]
+                    if not both:
+                        count[posting] += 1
                 if at % CHECK == CHECK - 1 and at + 1 < len(d) and at * 2 > len(d):
-                    rows = self._possible(total, count, allowed, k, dims, impact[at + 1], slack)
+                    rows = self._possible(*self._parted(total, count, both), allowed, k, dims, impact[at + 1], slack)
                     if len(rows) * FEW <= n:
                         break
             else:
-                rows = self._possible(total, count, allowed, k, dims, 0, slack)
+                rows = self._possible(*self._parted(total, count, both), allowed, k, dims, 0, slack)
         score = self._scores(rows, query)
         best = np.lexsort((ids[rows], -score))[:k]
         return rows[best], score[best]
@@ -108,6 +112,10 @@ class ImpactIndex:
             raise OverflowError("a score does not fit a long")
         return exact.astype(np.int64)
 
+    @staticmethod
+    def _parted(total, count, both):
+        return (total & ((1 << NARROW) - 1), total >> NARROW) if both else (total, count)
+
     @staticmethod
     def _possible(total, count, allowed, k, dims, rest, slack):
         lower = (total - slack)[allowed]
