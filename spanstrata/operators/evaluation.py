@@ -123,16 +123,49 @@ def pivot_table(df: DataFrame, row: str, column: str, values: Sequence[str], val
     return wide.select(row, *[F.when(F.col(v).isNotNull(), F.format_string("%.4f", F.col(v))).otherwise(marker).alias(v) for v in values])
 
 
+def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles per group, interpolated between neighbouring rows; ``keys`` and one column for each share.
+
+    Rows collapse to counts of distinct values, whose running sums say which rows a value
+    covers; a group of any number of distinct values spreads over the tasks.  Nulls are left out;
+    a group without values has null quantiles; no keys give one row.
+    """
+    work, k = (df.select(*keys, value), list(keys)) if keys else (df.select(F.lit(0).alias("_all"), value), ["_all"])
+    counts = work.where(F.col(value).isNotNull()).groupBy(*k, value).agg(F.count(F.lit(1)).alias("_n"))
+    curve = prefix_sums(counts, k, [F.col(value)], {"_upto": (F.col("_n"), True)}, {"_total": "_upto"})
+    found = []
+    for name, share in shares.items():
+        place = (F.col("_total") - 1) * F.lit(float(share))  # of rows counted from 0
+        for end, row in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            inside = (row < F.col("_upto")) & (row >= F.col("_upto") - F.col("_n"))
+            found.append(F.max(F.when(inside, F.col(value).cast("double"))).alias(f"_{end}_{name}"))
+        found.append(F.max(place - F.floor(place)).alias(f"_at_{name}"))
+    ends = curve.groupBy(*k).agg(*found)
+    # the form of Spark's percentile
+    shown = {n: (F.lit(1.0) - F.col(f"_at_{n}")) * F.col(f"_lo_{n}") + F.col(f"_at_{n}") * F.col(f"_hi_{n}") for n in shares}
+    if not keys:
+        return ends.agg(*[F.max(c).alias(n) for n, c in shown.items()])
+    groups = work.select(*[F.col(c).alias(f"_key_{i}") for i, c in enumerate(k)]).distinct()
+    same = F.lit(True)
+    for i, c in enumerate(k):
+        same = same & F.col(c).eqNullSafe(F.col(f"_key_{i}"))
+    return groups.join(ends, same, "left").select(*[F.col(f"_key_{i}").alias(c) for i, c in enumerate(k)], *[c.alias(n) for n, c in shown.items()])
+
+
 def score_summary(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """count, mean, population std, min, exact quartiles, p90, max."""
-    return df.groupBy(*keys).agg(
-        F.count(value).alias("count"),
-        r6(F.avg(value)).alias("mean"),
-        r6(F.stddev_pop(value)).alias("std"),
-        F.min(value).alias("min"),
-        *[r6(F.percentile(value, q / 100.0)).alias(f"p{q}") for q in (25, 50, 75, 90)],
-        F.max(value).alias("max"),
+    k = list(keys)
+    moments = df.groupBy(*k).agg(
+        F.count(value).alias("count"), r6(F.avg(value)).alias("mean"), r6(F.stddev_pop(value)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")
     )
+    at = quantiles(df, value, {f"p{q}": q / 100.0 for q in (25, 50, 75, 90)}, k)
+    for i, c in enumerate(k):
+        at = at.withColumnRenamed(c, f"_of_{i}")
+    same = F.lit(True)
+    for i, c in enumerate(k):
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{i}"))
+    both = moments.join(at, same)
+    return both.select(*k, "count", "mean", "std", "min", *[r6(F.col(f"p{q}")).alias(f"p{q}") for q in (25, 50, 75, 90)], "max")
 
 
 def compare_scores(

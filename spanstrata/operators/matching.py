@@ -1,7 +1,7 @@
 """Joins between named things: fusing tables, resolving names, finding counterparts.
 
-Containment and prefix conditions are turned into equi-joins on anchors (grams
-or prefixes) and verified afterwards, so nothing is compared with everything.
+Containment is found by an automaton over all names, prefix conditions by equi-joins on
+prefixes that are verified afterwards, so nothing is compared with everything.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
+from .automaton import contains_join
 
 # Decorations of packed file names.
 STRIP_SUFFIXES = ["_unsign_sign", "_legu_signed", "_legu_sign", "_protected_sign", "_unsigned_sign"]
@@ -44,30 +45,6 @@ def fuse_scores(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(right, list(keys), "full_outer").withColumn("problem", problem)
 
 
-def text_grams(text: Column, length: int) -> Column:
-    """Distinct substrings of one length."""
-    n = F.length(text)
-    return F.when(
-        n >= length, F.array_distinct(F.transform(F.sequence(F.lit(1), n - length + 1), lambda i: F.substring(text, i, F.lit(length))))
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def contains_join(
-    needles: DataFrame, texts: DataFrame, needle: str, text: str, sizes: Sequence[int] = (1, 3, 12), keys: Sequence[str] = ()
-) -> DataFrame:
-    """Pairs of equal ``keys`` where ``text`` contains ``needle``.
-
-    The anchor of a needle is its beginning, as long as the largest size that
-    fits; texts offer their substrings of those sizes.
-    """
-    anchor = F.lit(None).cast("string")
-    for s in sorted(sizes):
-        anchor = F.when(F.length(needle) >= s, F.substring(needle, 1, s)).otherwise(anchor)
-    n = needles.where(F.length(needle) > 0).withColumn("_gram", anchor)
-    grams = F.concat(*[text_grams(F.col(text), s) for s in sizes])
-    return n.join(texts.withColumn("_gram", F.explode(grams)), [*keys, "_gram"]).drop("_gram").where(F.contains(F.col(text), F.col(needle)))
-
-
 def resolve_names(
     apps: DataFrame, index: DataFrame, overrides: Mapping[str, str], curated: Mapping[str, str], blocked: Sequence[str]
 ) -> DataFrame:
@@ -119,7 +96,7 @@ def find_counterparts(stems: DataFrame, locations: DataFrame, min_prefix: int =
     )
     rest = s.join(exact.select("packer", "stem"), ["packer", "stem"], "left_anti")
     near = contains_join(
-        rest.select("packer", "stem", "_key"), loc.select("packer", "location", "_loc"), "_key", "_loc", (1, 3, min_prefix), ["packer"]
+        rest.select("packer", "stem", "_key"), loc.select("packer", "location", "_loc"), "_key", "_loc", ["packer"]
     )
     single = near.groupBy("packer", "stem").agg(F.count(F.lit(1)).alias("_n"), F.min("location").alias("found")).where("_n = 1").drop("_n")
     return stems.join(exact.unionByName(single.select("packer", "stem", "found")), ["packer", "stem"], "left")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bytes as B
+from .automaton import Matcher
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -27,10 +28,14 @@ def _number(anchor: bytes) -> int:
 
 
 class Needles:
-    """Finds all places of many needles in one pass: a table of their first eight bytes, then the bytes themselves."""
+    """Finds all places of many needles: a table of their first eight bytes, then the bytes themselves; an automaton for shorter ones."""
 
     def __init__(self, needles: list[tuple[int, bytes]]):
-        self.short = [(k, n) for k, n in needles if 0 < len(n) < ANCHOR]
+        short: dict[str, list[int]] = {}
+        for k, n in needles:
+            if 0 < len(n) < ANCHOR:
+                short.setdefault(n.decode("latin-1"), []).append(k)
+        self.short = Matcher(short)
         self.by_anchor: dict[int, list[tuple[int, bytes]]] = {}
         for k, n in needles:
             if len(n) >= ANCHOR:
@@ -41,11 +46,9 @@ class Needles:
 
     def places(self, data: bytes):
         """``(needle, offset)`` of every occurrence, overlapping ones too."""
-        for k, n in self.short:
-            at = data.find(n)
-            while at >= 0:
-                yield k, at
-                at = data.find(n, at + 1)
+        if self.short.needles:
+            for numbers, at in self.short.places(data.decode("latin-1")):  # a character for each byte
+                yield from ((k, at) for k in numbers)
         if len(data) < ANCHOR or not self.by_anchor:
             return
         one = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
