@@ -13,6 +13,7 @@ from ..operators.ordering import materialize, work_path
 from ..sources import archives as A
 from ..sources import catalogs as C
 from ..sources import jsonl as J
+from ..sources import manifests as M
 from ..streaming import incremental as I
 from .base import query
 from .detection import MIN, STRIDE, WIDTH, labelled, windows
@@ -140,7 +141,7 @@ def s8(t):
     rows = t.benchmark.select(F.struct("item_id", "text").alias("r"), (F.col("item_id") % 16).alias("g"))
     wrapped = rows.groupBy("g").agg(F.to_json(F.struct(F.collect_list("r").alias("records"))).alias("value"))
     wrapped.select("value", "g").repartition(4, "g").write.partitionBy("g").text(path)
-    read = J.read_manifest(t.spark, path, T.StructType.fromDDL("item_id BIGINT, text STRING"))
+    read = M.read_manifest(t.spark, path, T.StructType.fromDDL("item_id BIGINT, text STRING"))
     return read.select("item_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha"))
 
 

@@ -54,14 +54,3 @@ def write_version(df: DataFrame, root: str, version: str) -> str:
     target = f"{root.rstrip('/')}/version={version}"
     df.write.mode("overwrite").json(target)
     return target
-
-
-def read_manifest(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
-    """A manifest holding a list, ``{"records": [...]}``, ``{"apks": [...]}`` or JSON Lines."""
-    wrapped = T.StructType([*record.fields, T.StructField("records", T.ArrayType(record)), T.StructField("apks", T.ArrayType(record))])
-    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
-    one = text.select(F.from_json("v", wrapped).alias("j"), F.from_json("v", T.ArrayType(record)).alias("a"), "v")
-    is_list = F.col("v").startswith("[")
-    inner = F.coalesce(F.col("j.records"), F.col("j.apks"))
-    lines = F.transform(F.filter(F.split("v", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, record))
-    return one.select(F.explode(F.when(is_list, F.col("a")).otherwise(F.coalesce(inner, lines))).alias("r")).select("r.*")
