@@ -96,11 +96,24 @@ def score(model: Trees, values: dict[str, Column], names: list[str]) -> Column:
 
 
 def calibrate(scores, labels, precision: float) -> float:
-    """Smallest score from which on the share of positives, less one standard error, is ``precision``; 2 if none."""
-    order = np.argsort(-np.asarray(scores, dtype=float), kind="stable")
-    s, y = np.asarray(scores, dtype=float)[order], np.asarray(labels, dtype=float)[order]
-    n = np.arange(1, len(y) + 1)
-    share = (np.cumsum(y) + 1) / (n + 2)
-    ends = np.append(s[1:] != s[:-1], True) if len(s) else np.zeros(0, bool)
-    good = ends & (share - np.sqrt(share * (1 - share) / (n + 2)) >= precision)
-    return float(s[good].min()) if good.any() else 2.0
+    """Smallest score at which the calibrated probability, less one standard error, is ``precision``; 2 if none.
+
+    The probability of a score is the share of positives around it, not above it: an isotonic
+    regression pools neighbouring scores until the shares rise with the score, so sure examples
+    do not pay for doubtful ones.
+    """
+    s, at = np.unique(np.asarray(scores, dtype=float), return_inverse=True)
+    pools: list[list[float]] = []  # positives, examples, least score
+    for score_, y, n in zip(s, np.bincount(at, np.asarray(labels, dtype=float), len(s)), np.bincount(at, minlength=len(s)), strict=True):
+        pools.append([y, n, score_])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            y, n, _ = pools.pop()
+            pools[-1][0] += y
+            pools[-1][1] += n
+    least = 2.0
+    for y, n, score_ in reversed(pools):
+        share = (y + 1) / (n + 2)
+        if share - math.sqrt(share * (1 - share) / (n + 2)) < precision:
+            break
+        least = float(score_)
+    return least
