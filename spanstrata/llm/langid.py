@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from .common import releasing, settle
 from .hashing import _BACK, _BASE
 
-LONGEST = 32  # characters of a word that are segmented together; longer runs of letters are cut
-PIECE = 12  # characters of a piece at most
+SHORT = 32  # longer words are summed one by one, in logarithms
+BLOCK = 4096  # places of a long word whose pieces are looked up at once
 UNKNOWN = 1e-7  # probability of a character outside the vocabulary
 SAMPLE = 600  # labelled documents of a language that the pieces are learnt from
 ROUNDS = 3  # expectation-maximisation steps
@@ -29,29 +29,31 @@ def vocabulary(model_path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    plain = {p for p in pieces if len(p) <= PIECE and p.lstrip("▁").isalpha() and p == p.lower()}
+    plain = {p for p in pieces if p.lstrip("▁").isalpha() and p == p.lower()}
     return sorted(plain | {"▁"})
 
 
 def words_of(text: str) -> list[str]:
-    """Marked runs of letters, in lower case and of at most LONGEST characters."""
+    """Whole runs of letters, in lower case."""
     out = []
     for run in _LETTERS.findall(text.lower()):
         if not run.isalpha():  # other numerals
             run = "".join(c for c in run if c.isalpha())
-        if len(run) < LONGEST:
-            if run:
-                out.append(run)
-        else:
-            out += [run[i : i + LONGEST - 1] for i in range(0, len(run), LONGEST - 1)]
+        if run:
+            out.append(run)
     return out
 
 
 class Lattice:
-    """Piece numbers of all substrings of words of one length, and sums over their paths."""
+    """Piece numbers of all substrings of words of one length, and sums over their paths.
+
+    Words of fewer than SHORT letters are summed many at a time.  A longer one is summed alone, in
+    logarithms (its probability would leave the doubles) and by blocks of places.
+    """
 
     def __init__(self, pieces: list[str]):
-        size = PIECE + LONGEST + 2
+        self.longest = max(map(len, pieces), default=1)  # characters of a piece
+        size = self.longest + max(SHORT, BLOCK) + 2
         self.power = np.cumprod(np.array([1] + [_BASE] * size, dtype=np.uint64), dtype=np.uint64)
         self.back = np.cumprod(np.array([1] + [_BACK] * size, dtype=np.uint64), dtype=np.uint64)
         self.unknown = len(pieces)  # number of the stand-in for unknown characters
@@ -70,7 +72,7 @@ class Lattice:
         np.cumsum(codes * self.power[:n], axis=1, out=sums[:, 1:])
         out = {}
         for i in range(n):
-            for j in range(i + 1, min(n, i + PIECE) + 1):
+            for j in range(i + 1, min(n, i + self.longest) + 1):
                 h = (sums[:, j] - sums[:, i]) * self.back[i]
                 at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
                 hit = self.hashes[at] == h
@@ -82,6 +84,8 @@ class Lattice:
 
     def forward(self, words: list[str], prob: np.ndarray) -> np.ndarray:
         """Log of the sum over all segmentations, words x languages; ``prob`` has a row of zeros at its end."""
+        if len(words[0]) >= SHORT:
+            return np.stack([self._long_forward(w, prob) for w in words])
         spans, n = self.pieces_of(words), len(words[0]) + 1
         alpha = np.zeros((n + 1, len(words), prob.shape[1]))
         alpha[0] = 1
@@ -91,6 +95,8 @@ class Lattice:
 
     def expected(self, words: list[str], times: np.ndarray, prob: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over all segmentations of the words, under one language's ``prob``."""
+        if len(words[0]) >= SHORT:
+            return sum((self._long_expected(w, k, prob) for w, k in zip(words, times, strict=True)), np.zeros(len(prob)))
         spans, n = self.pieces_of(words), len(words[0]) + 1
         alpha, beta = np.zeros((n + 1, len(words))), np.zeros((n + 1, len(words)))
         alpha[0] = beta[n] = 1
@@ -103,6 +109,53 @@ class Lattice:
             uses += np.bincount(piece % len(prob), weights=times * alpha[i] * beta[j] * prob[piece] / alpha[n], minlength=len(prob))
         return uses
 
+    def _ends(self, word: str):
+        """For each end of a piece in the marked word, in order: the end, the starts of its pieces and their numbers."""
+        codes = np.frombuffer(("▁" + word).encode("utf-32-le"), "<u4").astype(np.uint64)
+        for at in range(0, len(codes), BLOCK):
+            low, stop = max(0, at + 1 - self.longest), min(len(codes), at + BLOCK)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes[low:stop] * self.power[: stop - low], dtype=np.uint64)])
+            ends, starts, numbers = [], [], []
+            for size in range(1, min(self.longest, stop) + 1):
+                j = np.arange(max(at + 1, size), stop + 1)
+                h = (sums[j - low] - sums[j - size - low]) * self.back[j - size - low]
+                place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                hit = self.hashes[place] == h
+                number = np.where(hit, self.order[place], self.unknown)
+                keep = hit | (size == 1)
+                ends.append(j[keep])
+                starts.append(j[keep] - size)
+                numbers.append(number[keep])
+            ends, starts, numbers = (np.concatenate(x) for x in (ends, starts, numbers))
+            order = np.argsort(ends, kind="stable")
+            ends, starts, numbers = ends[order], starts[order], numbers[order]
+            cuts = np.searchsorted(ends, np.arange(at + 1, stop + 2))
+            for j, a, b in zip(range(at + 1, stop + 1), cuts[:-1], cuts[1:], strict=True):
+                yield j, starts[a:b], numbers[a:b]
+
+    def _long_forward(self, word: str, prob: np.ndarray) -> np.ndarray:
+        """``forward`` of one word; only the last sums that a piece can reach are kept."""
+        last = np.zeros((self.longest + 1, prob.shape[1]))
+        for j, starts, numbers in self._ends(word):
+            last[j % len(last)] = np.logaddexp.reduce(last[starts % len(last)] + np.log(prob[numbers]), axis=0)
+        return last[(len(word) + 1) % len(last)]
+
+    def _long_expected(self, word: str, times: float, prob: np.ndarray) -> np.ndarray:
+        """``expected`` of one word; memory grows with its length."""
+        n = len(word) + 1
+        alpha, beta, uses = np.zeros(n + 1), np.full(n + 1, -np.inf), np.zeros(len(prob))
+        spans = []
+        for j, starts, numbers in self._ends(word):
+            alpha[j] = np.logaddexp.reduce(alpha[starts] + np.log(prob[numbers]))
+            spans.append((starts, numbers))
+        beta[n] = 0
+        for j in range(n, 0, -1):
+            starts, numbers = spans.pop()
+            way = np.log(prob[numbers]) + beta[j]
+            beta[starts] = np.logaddexp(beta[starts], way)  # starts of one end differ
+            np.add.at(uses, numbers, times * np.exp(alpha[starts] + way - alpha[n]))
+        return uses
+
 
 def _by_length(words):
     groups: dict[int, list[int]] = {}
@@ -187,6 +240,7 @@ def fit(docs: DataFrame, model_path: str, rounds: int = ROUNDS) -> Model:
 def mark(docs: DataFrame, model: Model, language: str = "lang_pred", posterior: str = "score", keep: list[str] | None = None) -> DataFrame:
     """Adds two columns to those in ``keep`` (all): the likeliest language of each whole text and its posterior.
 
+    Runs of letters of any length count as one word each.
     The posterior supposes equally frequent languages.  A null text, or one without letters,
     is ``und`` with score 0, as is every text if no language was learnt.  Ties go to the first
     language in order of names.  Nothing but ``text`` is looked at; a null doc_id stays null;
@@ -199,13 +253,16 @@ def mark(docs: DataFrame, model: Model, language: str = "lang_pred", posterior:
         languages, pieces, prob = shared.value
         lattice = Lattice(pieces)
         known: dict[str, int] = {}
+        letters = 0
         table = np.zeros((1024, len(languages)))
 
         def learn(words):
-            nonlocal table
-            if len(known) > CACHE:
+            nonlocal table, letters
+            if len(known) > CACHE or letters > 16 * CACHE:
                 known.clear()
+                letters = 0
             new = [w for w in set(words) if w not in known]
+            letters += sum(map(len, new))
             while len(known) + len(new) > len(table):
                 table = np.vstack([table, np.zeros_like(table)])
             for some in _by_length(new):

@@ -122,6 +122,18 @@ def test_language_paths():
     assert np.allclose(got, [[paths("▁" + w, k) for k in range(2)] for w in words])
     uses = lattice.expected(words[:1], np.array([2.0]), prob[:, 0])
     assert abs(sum(uses[i] * len(p) for i, p in enumerate(pieces)) - 2 * 5) < 1e-9  # every segmentation covers the word
+    # Long words: sums in logarithms give the same, also across the blocks of places.
+    many = ["abxabba" * 3, "babaabx" * 3]
+    short, uses = lattice.forward(many, prob), lattice.expected(many, np.array([2.0, 3.0]), prob[:, 0])
+    assert np.allclose([lattice._long_forward(w, prob) for w in many], short)
+    assert np.allclose(sum(lattice._long_expected(w, t, prob[:, 0]) for w, t in zip(many, (2.0, 3.0))), uses)
+    long = "ab" * (langid.BLOCK + 3)
+    power = {p: np.log(prob[i, 1]) for i, p in enumerate(pieces)}
+    text, sums = "▁" + long, [0.0]
+    for j in range(1, len(text) + 1):
+        sums.append(np.logaddexp.reduce([sums[i] + power[text[i:j]] for i in range(max(0, j - 3), j) if text[i:j] in power]))
+    assert np.isclose(lattice.forward([long], prob)[0, 1], sums[-1])
+    assert langid.words_of("a" * 5000 + " B") == ["a" * 5000, "b"]
 
 
 def test_languages(spark):
@@ -205,6 +217,8 @@ def test_trees():
     assert ((trees.predict(x[1000:]) > 0.5) == y[1000:]).mean() > 0.97
     assert fit_trees([], []).predict([[1.0]])[0] < 1e-6 and fit_trees([[1.0]], [1]).predict([[1.0]])[0] > 0.999
     assert calibrate([0.9] * 500 + [0.1] * 500, [1] * 500 + [0] * 500, 0.98) == 0.9 and calibrate([], [], 0.9) == 2.0
+    # A large sure block does not pay for a doubtful one below it.
+    assert calibrate([0.9] * 5000 + [0.1] * 40, [1] * 5000 + [0] * 40, 0.98) == 0.9
 
 
 def word_set(text, k=5):
