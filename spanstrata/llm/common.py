@@ -60,6 +60,16 @@ def releasing(run):
     return wrapped
 
 
+def give_back(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect, after which they return free heap to the machine.
+
+    For jobs of many stages on executors whose Python workers need memory beside the heap: a heap
+    that one stage filled with garbage otherwise stays as large.  A task for each core, without data.
+    """
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
+
+
 ROWS = 20_000  # rows of a small table that are worth a task
 
 
