@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanstrata.llm import langid, minhash, packing, pii
-from spanstrata.llm.common import TOKENIZERS, table, work_folder
+from spanstrata.llm.common import TOKENIZERS, give_back, table, work_folder
 
 #: A document goes if no language has this posterior, or if it has no letters.
 LEAST_POSTERIOR = 0.5
@@ -62,4 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        give_back(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
