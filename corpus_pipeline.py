@@ -1,4 +1,7 @@
-"""Curation of ``documents``: language, near-duplicates, personal data, packing."""
+"""Curation of ``documents``: language, near-duplicates, personal data, packing.
+
+Each stage starts by having the executors return the heap that the stage before left free.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +21,7 @@ CACHE = 80_000
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that have a language; null texts and texts without letters go."""
+    give_back(spark)
     model = langid.fit(langid.sample_of(docs), f"{TOKENIZERS}/piece_bpe_32k.model")
     judged = langid.mark(docs, model, "_language", "_posterior")
     if not model.languages:  # nothing to learn from: letters decide alone
@@ -30,6 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A document goes only if no row of its doc_id is kept; rows without doc_id stay.
     """
+    give_back(spark)
     judged = minhash.near_duplicates(docs, k=5, percent=80).where("doc_id is not null")
     gone = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("_kept")).where("not _kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
@@ -37,6 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the texts by marks; ``n_chars`` follows."""
+    give_back(spark)
     columns = docs.columns
     model = pii.fit(pii.with_candidates(docs.select("doc_id", "text")))
     clean = pii.redact(pii.with_spans(pii.with_candidates(docs), model, "_found"), "_found")
@@ -47,6 +53,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of 2048 ids."""
+    give_back(spark)
     return packing.pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json", added_tokens=True, cache=CACHE)
 
 
@@ -62,5 +69,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-        give_back(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
