@@ -155,9 +155,8 @@ def i9(t):
     return diff_label_rows(t)
 
 
-@query(
-    "j4_fuzzy_matches",
-    """WITH h AS (SELECT pair_id, side, name, size, b, count(*) AS c FROM (SELECT pair_id, side, name, size, unnest(list_transform(range(0, size), lambda k: ('0x' || substr(hx, 2 * k + 1, 2))::INTEGER)) AS b FROM members WHERE size > 0) GROUP BY ALL),
+# near pairs (nn, oo, score) of members that neither name nor content matches
+NEAR = """WITH h AS (SELECT pair_id, side, name, size, b, count(*) AS c FROM (SELECT pair_id, side, name, size, unnest(list_transform(range(0, size), lambda k: ('0x' || substr(hx, 2 * k + 1, 2))::INTEGER)) AS b FROM members WHERE size > 0) GROUP BY ALL),
  un AS (SELECT pair_id, new_name AS name, 1 AS side FROM mapped WHERE branch = 'new_in_packed' UNION ALL SELECT pair_id, old_name, 0 FROM mapped WHERE branch = 'removed'),
  u AS (SELECT m.* FROM members m JOIN un USING (pair_id, name, side)),
  cand AS (SELECT n.pair_id, n.name AS nn, o.name AS oo, n.size AS ns, o.size AS os, abs(log2(greatest(n.size, 1)) - log2(greatest(o.size, 1))) AS g FROM u n JOIN u o ON n.pair_id = o.pair_id AND n.side = 1 AND o.side = 0
@@ -165,7 +164,13 @@ def i9(t):
  l AS (SELECT pair_id, nn, oo, g, sum(abs(p)) AS d FROM (SELECT pair_id, nn, oo, g, b, sum(p) AS p FROM (
         SELECT c.pair_id, nn, oo, g, b, h.c / ns AS p FROM cand c JOIN h ON h.pair_id = c.pair_id AND h.side = 1 AND h.name = nn
         UNION ALL SELECT c.pair_id, nn, oo, g, b, -h.c / os FROM cand c JOIN h ON h.pair_id = c.pair_id AND h.side = 0 AND h.name = oo) GROUP BY ALL) GROUP BY ALL),
- s AS (SELECT pair_id, nn, oo, round_even(g + 2 * d, 6) AS score FROM l WHERE round_even(g + 2 * d, 6) < 2),
+ s AS (SELECT pair_id, nn, oo, round_even(g + 2 * d, 6) AS score FROM l WHERE round_even(g + 2 * d, 6) < 2),"""
+
+
+@query(
+    "j4_fuzzy_matches",
+    NEAR
+    + """
  r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, nn ORDER BY score, oo) AS a, row_number() OVER (PARTITION BY pair_id, oo ORDER BY score, nn) AS b FROM s)
 SELECT pair_id, nn AS new_name, oo AS old_name, score FROM r WHERE a = 1 AND b = 1""",
     ("mapped",),
@@ -180,9 +185,7 @@ def j4(t):
     return D.fuzzy_matches(free_new, free_old)
 
 
-@query(
-    "j5_diff_magnitude",
-    """WITH h AS (SELECT pair_id, side, name, size, b, count(*) AS c FROM (SELECT pair_id, side, name, size, unnest(list_transform(range(0, size), lambda k: ('0x' || substr(hx, 2 * k + 1, 2))::INTEGER)) AS b FROM members WHERE size > 0) GROUP BY ALL),
+MAGNITUDE = """WITH h AS (SELECT pair_id, side, name, size, b, count(*) AS c FROM (SELECT pair_id, side, name, size, unnest(list_transform(range(0, size), lambda k: ('0x' || substr(hx, 2 * k + 1, 2))::INTEGER)) AS b FROM members WHERE size > 0) GROUP BY ALL),
  e AS (SELECT pair_id, side, name, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM h GROUP BY ALL),
  l AS (SELECT pair_id, name, sum(abs(p)) AS d FROM (SELECT n.pair_id, n.name, b, sum(CASE WHEN h.side = 1 THEN h.c / h.size ELSE -h.c / h.size END) AS p FROM news n JOIN olds o USING (pair_id, name) JOIN h ON h.pair_id = n.pair_id AND h.name = n.name GROUP BY ALL) GROUP BY ALL),
  j AS (SELECT n.pair_id, n.name, n.size AS ns, o.size AS os, n.sha256 AS a, o.sha256 AS b, abs(coalesce(x.e, 0) - coalesce(y.e, 0)) AS ed, n.size / greatest(o.size, 1) AS r, l.d, n.pair_id IN (SELECT pair_id FROM olds) AS known
@@ -190,14 +193,56 @@ def j4(t):
  s AS (SELECT *, CASE WHEN NOT known THEN 'unknown' WHEN b IS NULL THEN 'new' WHEN a = b THEN 'unchanged' ELSE 'modified' END AS status FROM j)
 SELECT pair_id, name, status, round_even(CASE status WHEN 'unknown' THEN 0.5 WHEN 'new' THEN 1 WHEN 'unchanged' THEN 0 ELSE greatest(least(0.3e0 * least(abs(log2(greatest(r, 0.01))) / 3, 1) + 0.3e0 * least(ed / 4, 1) + 0.4e0 * least(d / 1.5e0, 1), 0.9e0), 0.1e0) END, 6) AS diff_score,
   CASE WHEN os IS NULL THEN 1 WHEN ed > 2 OR r > 2 OR r < 0.3 THEN 0.8 WHEN ns <> os THEN 0.3 ELSE 0 END::DOUBLE AS coarse_score,
-  round_even(CASE status WHEN 'modified' THEN d WHEN 'new' THEN 2 ELSE 0 END, 6) AS histogram_distance FROM s""",
-    ("olds", "news"),
-)
+  round_even(CASE status WHEN 'modified' THEN d WHEN 'new' THEN 2 ELSE 0 END, 6) AS histogram_distance FROM s"""
+
+
+@query("j5_diff_magnitude", MAGNITUDE, ("olds", "news"))
 def j5(t):
     old, new = sides(t)
     return D.diff_magnitude(D.with_profile(new), D.with_profile(old))
 
 
+# all candidates of a pair_id by (score, nn, oo), each taken unless one of its members is
+GREEDY = NEAR + """
+ q AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score, nn, oo) AS k FROM s),
+ walk AS (
+  SELECT pair_id, k, [nn] AS un, [oo] AS uo, true AS took FROM q WHERE k = 1
+  UNION ALL
+  SELECT q.pair_id, q.k, CASE WHEN list_contains(un, nn) OR list_contains(uo, oo) THEN un ELSE list_append(un, nn) END,
+    CASE WHEN list_contains(un, nn) OR list_contains(uo, oo) THEN uo ELSE list_append(uo, oo) END, NOT (list_contains(un, nn) OR list_contains(uo, oo))
+  FROM walk w JOIN q ON q.pair_id = w.pair_id AND q.k = w.k + 1),
+ greedy AS (SELECT pair_id, nn AS new_name, oo AS old_name, score FROM q JOIN walk USING (pair_id, k) WHERE took)"""
+ALIGNED = GREEDY + """,
+ partners AS (SELECT pair_id, new_name, old_name FROM mapped WHERE new_name IS NOT NULL AND old_name IS NOT NULL UNION ALL SELECT pair_id, new_name, old_name FROM greedy),
+ aolds AS (SELECT o.* REPLACE (p.new_name AS name) FROM olds o JOIN partners p ON p.pair_id = o.pair_id AND p.old_name = o.name),
+ amembers AS (SELECT * FROM news UNION ALL SELECT * FROM aolds)"""
+
+
+@query("j4_greedy_matches", GREEDY + " SELECT * FROM greedy", ("mapped",))
+def j4_greedy(t):
+    old, new = sides(t)
+    m = materialize(D.snapshot_members(old, new))
+    n_keys = m.where(F.col("branch") == D.NEW).select("pair_id", F.col("new_name").alias("name"))
+    o_keys = m.where(F.col("branch") == D.REMOVED).select("pair_id", F.col("old_name").alias("name"))
+    free_new = D.with_profile(new.join(n_keys, ["pair_id", "name"], "left_semi"))
+    free_old = D.with_profile(old.join(o_keys, ["pair_id", "name"], "left_semi"))
+    return D.greedy_matches(free_new, free_old)
+
+
+@query(
+    "j5_aligned_magnitude",
+    f"{ALIGNED} SELECT * FROM ({MAGNITUDE.replace('FROM members', 'FROM amembers').replace('JOIN olds o', 'JOIN aolds o')})",
+    ("olds", "news", "mapped"),
+)
+def j5_aligned(t):
+    old, new = map(D.with_profile, sides(t))
+    return D.diff_magnitude(new, old, D.member_mapping(new, old))
+
+
+for _name in ("j4_greedy_matches", "j5_aligned_magnitude"):
+    base.ORACLES[_name] = base.ORACLES[_name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 PART_RULES = [
     R.Rule("r_red", "^red ", offset_end=-1), R.Rule("r_ring", "ring$", label="benign_loader", payload_kind="shim", offset_start=2, offset_end=4),
     R.Rule("r_s", "^s", payload_kind="native_stub"), R.Rule("r_wid", "widg[e]t", transform_family="packer_w"),
