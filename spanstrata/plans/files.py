@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import r6
+from ..operators import ablation as AB
 from ..operators import ml as ML
+from ..operators import sampling as K
 from ..operators import summaries as S
+from ..operators.context import GROUPS
 from ..operators.metrics import ranking_quality
 from ..operators.ordering import materialize, work_path
 from ..sources import archives as A
@@ -17,6 +20,7 @@ from ..sources import manifests as M
 from ..streaming import incremental as I
 from .base import query
 from .detection import MIN, STRIDE, WIDTH, labelled, windows
+from .features import handcrafted
 
 
 def scratch(t, name: str) -> str:
@@ -290,3 +294,35 @@ def m4(t):
     return ML.ablation_report(rows, groups, "y", "fold", [0, 1])
 
 
+ABLATION_LEVELS = {"window": ["container", "window_id"], "object": ["container", "object_id"], "container": ["container"]}
+
+
+def group_ablation(t):
+    """Feature groups of the handcrafted window table, each passage family held out in turn; a fifth of the benign objects is for tests."""
+    truth = labelled(t).select("container", "window_id", "label_id", F.get("transform_families", F.lit(0)).alias("family"))
+    rows = handcrafted(t).join(truth, ["container", "window_id"])
+    spare = F.substring_index("object_id", ":", -1).cast("long") % 5 == 0
+    return AB.group_ablation(K.leave_one_out(rows, "family", "label_id", spare), GROUPS, "label_id", ABLATION_LEVELS)
+
+
+@query("m4_group_ablation")
+def m4_groups(t):
+    r = group_ablation(t)
+    return r.select("features", "held_out", "level", "support", "true_positives", "false_positives", "false_negatives", "true_negatives", "precision", "recall", "f1", "accuracy", "auroc", "auprc")
+
+
+@query(
+    "m4_group_ablation_counts",
+    f"""WITH k AS (SELECT container, object_id, window_id, label_id AS y, CASE WHEN label_id = 1 THEN fams[1] END AS test_fold, split_part(object_id, ':', -1)::BIGINT % 5 = 0 AS bt FROM labelled),
+ te AS (SELECT k.*, held_out FROM k JOIN (SELECT DISTINCT test_fold AS held_out FROM k WHERE y = 1) ON (y = 1 AND test_fold = held_out) OR (y = 0 AND bt)),
+ it AS (SELECT held_out, 'window' AS level, window_id AS i, y FROM te UNION ALL SELECT held_out, 'object', object_id, max(y) FROM te GROUP BY ALL UNION ALL SELECT held_out, 'container', container, max(y) FROM te GROUP BY ALL)
+SELECT features, held_out, level, count(*) AS support, sum(y)::BIGINT AS positives, true AS in_range FROM it, (SELECT unnest({list(AB.group_sets(GROUPS))}) AS features) GROUP BY ALL""",
+    ("labelled",),
+)
+def m4_group_counts(t):
+    """Items of every report row; all rates lie in [0, 1] and ranking figures stand where both classes do."""
+    r = group_ablation(t)
+    rates = [F.col(c).between(0, 1) for c in ("precision", "recall", "f1", "accuracy")]
+    both = (F.col("positives") > 0) & (F.col("positives") < F.col("support"))
+    ranked = F.when(both, F.col("auroc").between(0, 1) & F.col("auprc").between(0, 1)).otherwise(F.col("auroc").isNull())
+    return r.select("features", "held_out", "level", "support", "positives", F.coalesce(rates[0] & rates[1] & rates[2] & rates[3] & ranked, F.lit(False)).alias("in_range"))
