@@ -106,11 +106,12 @@ def fit_sets(assigned: DataFrame, sets: Mapping[str, Sequence[str]], label: str,
             names.append((name, k))
             models.append((k, np.array([0, *(columns.index(c) + 1 for c in sorted(set(cols)))])))
     best = [np.zeros(len(cols)) for _, cols in models]
-    trial, least, known, done = list(best), [np.inf] * len(models), [None] * len(models), [False] * len(models)
+    trial, least, done = list(best), [np.inf] * len(models), [False] * len(models)
     for _ in range(rounds if models else 0):
-        for at, s in enumerate(_sums(data, trial, models, folds, scales)):
-            if done[at]:
-                continue
+        going = [at for at, d in enumerate(done) if not d]
+        if not going:
+            break
+        for at, s in zip(going, _sums(data, [trial[at] for at in going], [models[at] for at in going], folds, scales), strict=True):
             w = trial[at]
             d, rest = len(w), np.r_[0.0, np.full(len(w) - 1, ridge)]  # the bias is free
             loss = s[0] + (rest * w * w).sum() / 2
@@ -119,11 +120,9 @@ def fit_sets(assigned: DataFrame, sets: Mapping[str, Sequence[str]], label: str,
                 done[at] = np.abs(trial[at] - best[at]).max() < TOLERANCE
                 continue
             done[at] = least[at] - loss < TOLERANCE * scales[models[at][0]].rows
-            best[at], least[at], known[at] = w, loss, s
+            best[at], least[at] = w, loss
             step = np.linalg.lstsq(s[1 + d :].reshape(d, d) + np.diag(rest), s[1 : 1 + d] + rest * w, rcond=None)[0]
             trial[at] = w - step
-        if all(done):
-            break
     rows = []
     for (name, k), (_, cols), w in zip(names, models, best, strict=True):
         coef = np.zeros(len(columns))
